@@ -36,6 +36,7 @@ BATCH_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
 SHARDS = (24, 4096)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x5851F42D4C957F2D)
+_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
 _PACKED = pa.schema([("group", pa.int32()), ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("data", pa.binary())])
 _BLOB = pa.schema([("shard", pa.int32()), ("group", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())])
 _BLOB_DDL = "shard int, group int, batch long, blob binary"
@@ -130,23 +131,22 @@ class _Batch:
         mixed = mix64(self.least.copy())
         return (mixed >> np.uint64(40)) % np.uint64(shards), mixed & np.uint64(0xFFFFFFFF)
 
-    def distinct(self, which: np.ndarray, shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct ones of the strings `which`, in order of shard and key: (first occurrence, smallest id, for each of `which` its distinct one)."""
+    def distinct(self, which: np.ndarray, shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct ones of the strings `which`, by shard and key: (an occurrence, smallest id, hash, for each of `which` its distinct one)."""
+        if not len(which):
+            return which, which, self.least[:0], which
         start, span = self.start[which], self.size[which] + self.window - 1
-        powers = np.full(len(self.data) + 1, _C, np.uint64)
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        sums = np.append(np.uint64(0), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:-1]))
-        # (sum up to the end - sum up to the start) / power of the start, as a product with the power that is left to the longest place
-        code = mix64((sums[start + span] - sums[start]) * powers[len(self.data) - start])
-        by = np.lexsort((self.ids[self.doc[which]], code, span, key[which], shard[which]))
-        w = which[by]
-        new = np.ones(len(by), bool)
-        if len(by):
-            new[1:] = (code[by][1:] != code[by][:-1]) | (span[by][1:] != span[by][:-1]) | (self.least[w][1:] != self.least[w][:-1])
+        up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(self.data), c, np.uint64))) for c in (_C, _INVERSE))
+        sums = np.append(np.uint64(0), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1]))
+        code = mix64((sums[start + span] - sums[start]) * down[start] ^ span.astype(np.uint64) * _B)
+        place = shard[which] << np.uint64(32) | key[which]
+        by = np.lexsort((code, place))
+        w, code, place = which[by], code[by], place[by]
+        new = np.append(True, (code[1:] != code[:-1]) | (place[1:] != place[:-1]))
+        heads = np.flatnonzero(new)
         at = np.empty(len(by), np.int64)
         at[by] = np.cumsum(new) - 1
-        return w[new], self.ids[self.doc[w[new]]], at
+        return w[heads], np.minimum.reduceat(self.ids[self.doc[w]], heads), code[heads], at
 
     def gather(self, which: np.ndarray) -> np.ndarray:
         span = self.size[which] + self.window - 1
@@ -183,7 +183,8 @@ def _repeated(table: pa.Table) -> pa.Table:
     keys = np.concatenate([k for k, _ in parts])
     every = np.sort(np.concatenate([keys, *(k[t] for k, t in parts)]))
     many = np.unique(every[1:][every[1:] == every[:-1]])
-    out = [np.packbits(np.isin(k, many)).tobytes() for k, _ in parts]
+    many = np.append(many, np.uint32(0xFFFFFFFF))  # a false positive at most; batches' keys are sorted, so this walks through memory
+    out = [np.packbits(many[np.searchsorted(many[:-1], k)] == k).tobytes() for k, _ in parts]
     return pa.table([table.column("shard"), table.column("group"), table.column("batch"), pa.array(out, pa.binary())], schema=_BLOB)
 
 
@@ -198,26 +199,16 @@ def _chosen(b: _Batch, bits: dict[int, bytes], shards: int) -> tuple[np.ndarray,
 
 
 def _strings(row: dict, window: int, shards: int, bits: dict[int, bytes]) -> Iterator[dict]:
-    """Round two: per shard the distinct strings of a batch with repeated keys, each with its key and smallest id."""
+    """Round two: per shard the distinct strings of a batch with repeated keys, each with its key, smallest id and hash."""
     b = _Batch(row, window)
     which, shard, key = _chosen(b, bits, shards)
-    first, least, _ = b.distinct(which, shard, key)
+    first, least, code, _ = b.distinct(which, shard, key)
     for s, i, j in _cuts(shard[first].astype(np.int64), shards):
         part = first[i:j]
-        blob = _pack((b.size[part] + window - 1).astype(np.uint32), key[part].astype(np.uint32), least[i:j], b.gather(part))
+        blob = _pack((b.size[part] + window - 1).astype(np.uint32), key[part].astype(np.uint32), least[i:j], code[i:j], b.gather(part))
         yield {"shard": s, "group": row["group"], "batch": row["batch"], "blob": blob}
 
 
-def least_ids(strings: list[np.ndarray], ids: np.ndarray, window: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of distinct strings (end to end) the smallest id of a string that holds it, and where each string's windows start."""
-    lengths = np.array([len(s) for s in strings])
-    text = np.full(int(lengths.sum()) + len(strings), SEPARATOR, np.uint8)
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
-    index = np.arange(len(text)) - np.repeat(begin, lengths + 1)
-    text[index < np.repeat(lengths, lengths + 1)] = np.concatenate(strings) if strings else 0
-    return _least_in(text, begin, lengths, ids, window, folder)
-
-
 def _least_in(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int, folder: str | None) -> tuple[np.ndarray, np.ndarray]:
     at, shared = suffix_order(text, window, folder)
     owner = np.repeat(np.arange(len(begin)), lengths + 1)
@@ -240,23 +231,20 @@ def _least_in(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray, ids: np.
 
 def _resolve(table: pa.Table, window: int, folder: str) -> pa.Table:
     """Per shard: for every string that a batch sent, runs of windows (offset, smallest id)."""
-    spans, keys, ids, raws, counts = [], [], [], [], []
-    for blob in table.column("blob").to_pylist():
-        span, key, least, raw = _unpack(blob, np.uint32, np.uint32, np.int64, np.uint8)
-        spans.append(span), keys.append(key), ids.append(least), raws.append(raw), counts.append(len(span))
-    span, key, least, raw = (np.concatenate(x) for x in (spans, keys, ids, raws))
+    parts = [_unpack(blob, np.uint32, np.uint32, np.int64, np.uint64, np.uint8) for blob in table.column("blob").to_pylist()]
+    counts = [len(x[0]) for x in parts]
+    span, key, least, code, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     span = span.astype(np.int64)
     start = np.cumsum(span) - span
-    place = np.arange(len(raw)) - np.repeat(start, span)
-    powers = [np.multiply.accumulate(np.append(np.uint64(1), np.full(int(span.max()), c, np.uint64))) for c in (_C, _B)]
-    value = raw.astype(np.uint64) + np.uint64(1)
-    one, two = (np.add.reduceat(value * p[place], start) for p in powers)
-    by = np.lexsort((least, two, one, span, key))
-    new = np.ones(len(by), bool)
-    new[1:] = (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1]) | (span[by][1:] != span[by][:-1])
+    # Equal strings that this order might keep apart would only be sorted as two.
+    place = key.astype(np.uint64) << np.uint64(32) | code >> np.uint64(32)
+    by = np.argsort(place)
+    new = np.append(True, (place[by][1:] != place[by][:-1]) | (code[by][1:] != code[by][:-1]) | (span[by][1:] != span[by][:-1]))
     which = np.empty(len(by), np.int64)
     which[by] = np.cumsum(new) - 1
-    first = by[new]  # its smallest id comes first
+    heads = np.flatnonzero(new)
+    first, lowest = by[heads], np.minimum.reduceat(least[by], heads)
     # A string alone under its key has nothing to be sorted against: its windows are its own.
     k = key[first]
     alone = np.append(True, k[1:] != k[:-1]) & np.append(k[1:] != k[:-1], True)
@@ -266,7 +254,7 @@ def _resolve(table: pa.Table, window: int, folder: str) -> pa.Table:
     text = np.full(int((lengths + 1).sum()), SEPARATOR, np.uint8)
     inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     text[inside + np.repeat(begin, lengths)] = raw[inside + np.repeat(start[met], lengths)]
-    found, starts = _least_in(text, begin, lengths, least[met], window, folder)
+    found, starts = _least_in(text, begin, lengths, lowest[~alone], window, folder)
     # Runs of equal ids within each string.
     cut = np.append(True, found[1:] != found[:-1]) if len(found) else np.zeros(0, bool)
     cut[starts[:-1]] = True
@@ -276,7 +264,7 @@ def _resolve(table: pa.Table, window: int, folder: str) -> pa.Table:
     runs[~alone] = np.bincount(owner, minlength=len(met))
     run_start = np.cumsum(runs) - runs
     offset, low = np.zeros(int(runs.sum()), np.uint32), np.zeros(int(runs.sum()), np.int64)
-    low[run_start[alone]] = least[first[alone]]
+    low[run_start[alone]] = lowest[alone]
     many = np.repeat(~alone, runs)
     offset[many], low[many] = heads - starts[owner], found[heads]
     out, at = [], 0
@@ -295,7 +283,7 @@ def _removed(row: dict, window: int, shards: int, bits: dict[int, bytes], replie
     cover = np.zeros(len(b.data) + 1, np.int32)
     if len(b.start):
         which, shard, key = _chosen(b, bits, shards)
-        first, _, at = b.distinct(which, shard, key)
+        first, _, _, at = b.distinct(which, shard, key)
         parts = [_unpack(replies[s], np.uint32, np.uint32, np.int64) for s, _, _ in _cuts(shard[first].astype(np.int64), shards)]
         if parts:
             runs, offset, low = (np.concatenate(x) for x in zip(*parts, strict=True))
