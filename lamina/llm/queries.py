@@ -64,3 +64,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_virtual_slots, op2_minhash, op3_warc, op4_pii_surrogates, op5_decontaminate, op6_temperature_mix, op7_chat_windows, op8_suffix_dedup, op9_norm_topk, op10_ppm_language,
     )}
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op3_warc": """WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, DIGEST AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url FROM p JOIN f ON p.h = f.h""".replace("DIGEST", _base32("sha1(p.h)")),
+        "op5_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+g AS (SELECT item_id, w[k:k + least(len(w), 10) - 1] AS gram FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT DISTINCT len(gram) AS n FROM g), c AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, n WHERE len(w) >= n),
+h AS (SELECT DISTINCT doc_id, k, n, item_id FROM (SELECT doc_id, k, n, w[k:k + n - 1] AS gram FROM c) x JOIN g USING (gram)),
+t AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS at_word FROM h) GROUP BY 1),
+s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN s ON d.doc_id = s.doc_id""",
+        "op7_chat_windows": r"""WITH c AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, 4 + (length(text) + 3) // 4 AS tokens, 4 + length(regexp_replace(role, '([<\[|\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[|\\])', '\1\\', 'g')) + 4 AS chars FROM c),
+o AS (SELECT *, row_number() OVER w AS i, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS before FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT *, floor(before / 192) AS span FROM o), f AS (SELECT conv_id, span, min(i) AS i, min(before) AS before, sum(chars) AS chars FROM b GROUP BY 1, 2),
+s AS (SELECT conv_id, chars FROM b WHERE i = 1 AND role = 'system'),
+p AS (SELECT f.conv_id, f.span, 3 + f.chars + CASE WHEN f.i > 1 THEN coalesce(s.chars, 0) ELSE 0 END + coalesce((SELECT sum(x.chars) FROM b x WHERE x.conv_id = f.conv_id AND x.before BETWEEN f.before - 128 AND f.before - 1 AND NOT (x.i = 1 AND s.chars IS NOT NULL)), 0) AS chars FROM f LEFT JOIN s ON f.conv_id = s.conv_id),
+t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM b GROUP BY 1)
+SELECT t.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST((SELECT sum(chars) FROM p WHERE p.conv_id = t.conv_id) AS BIGINT) AS formatted_chars FROM t""",
+        "op9_norm_topk": """WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    }
+
+
+def _base32(hex_digest: str) -> str:
+    """SQL for the bare base32 of a SHA-1 in hex: eight characters for every ten hex digits."""
+    part = "CAST('0x' || substring(HEX, {at}, 10) AS UBIGINT)"
+    letter = "substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({n} >> {shift}) & 31 AS INTEGER) + 1, 1)"
+    return "(" + " || ".join(letter.format(n=part.format(at=at), shift=shift) for at in (1, 11, 21, 31) for shift in range(35, -1, -5)).replace("HEX", hex_digest) + ")"
