@@ -3,10 +3,11 @@
 Texts become sets of hashed word shingles; equal sets are one class. Class representatives get MinHash signatures, whose
 bands propose candidates. A candidate pair's signatures are compared batch by batch, and it is dropped once the posterior
 probability that the similarity reaches the threshold is below a chosen miss probability; survivors are verified exactly
-on their full sets.
+on their full sets. Before that, what a class shares with no other in any bucket bounds exactly whom it can be near to.
 
 Within a bucket pairs are not enumerated: first every member is compared with the bucket's hub (the member that meets
-most others), and only buckets that the links found so far leave in several components compare members across these.
+shares most), and only where the links found so far leave a hub's members in several components are members compared
+across these, as far as their overlaps with the hub allow a link at all.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, pieces, text_bytes, written
@@ -173,39 +174,48 @@ def _compare(pairs: DataFrame, sketches: DataFrame, threshold_pct: int, miss: fl
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bayes, "a binary, b binary")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, threshold_pct: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the threshold. Sets are made again from the texts of the surviving classes alone."""
-    ends = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    named = written(reps.join(ends, "digest", "left_semi").select("digest", F.col("doc_id").alias("id"), F.col("mark").alias("m"), "copies"), "survivors")
+def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """digest, rid and the full shingle set of every row of reps, made again from the texts of these alone."""
+    named = reps.select("digest", "rid", F.col("doc_id").alias("id"), F.col("mark").alias("m"), "copies")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text", 2_000_000):
                 made = shingle_sets(*text_bytes(piece.column("text")), width)
                 keep = [i for i, (s, d) in enumerate(zip(made, piece.column("digest").to_pylist(), strict=True)) if set_digest(s) == d]
-                yield pa.RecordBatch.from_arrays([piece.column("digest").take(pa.array(keep, pa.int64())), pa.array([made[i].tobytes() for i in keep], pa.binary())], names=["digest", "shingles"])
+                at = pa.array(keep, pa.int64())
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *(len(made[i]) for i in keep)]).astype(np.int32), np.concatenate([np.zeros(0, np.uint64), *(made[i] for i in keep)]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([piece.column("digest").take(at), piece.column("rid").take(at), lists], names=["digest", "rid", "shingles"])
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    # Few classes survive; past the bound the texts are shuffled to them (where Spark adds a Bloom filter of its own to a large scan).
+    # Most classes meet no other and aren't named; past the bound the texts are shuffled to the names (where Spark adds a Bloom filter of its own to a large scan).
     small = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
     found = texts.join(small, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
-    once = found.where("copies = 1").select("digest", "text").unionByName(found.where("copies > 1").select("digest", "text").dropDuplicates(["digest"]))
-    table = written(once.mapInArrow(sets, "digest binary, shingles binary"), "sets")
+    once = found.where("copies = 1").select("digest", "rid", "text").unionByName(found.where("copies > 1").select("digest", "rid", "text").dropDuplicates(["digest"]))
+    return once.mapInArrow(sets, "digest binary, rid long, shingles array<long>")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and how many shingles their full sets have in common (common) and together (united)."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate([p, q])
+            common, united = [], []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                both = np.concatenate([v.values.to_numpy() for v in (x, y)])
                 both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= threshold_pct * (len(p) + len(q) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                common.append(int((both[1:] == both[:-1]).sum()))
+                united.append(len(both) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(united, pa.int64())], names=["a", "b", "common", "united"])
+
+    side = lambda x, y: sets.select(F.col("digest").alias(x), F.col("shingles").alias(y))
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(exact, "a binary, b binary, common long, united long")
+
 
-    side = lambda x, y: table.select(F.col("digest").alias(x), F.col("shingles").alias(y))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(exact, "a binary, b binary")
+def _may_reach(n1: Column, n2: Column, most: Column, threshold_pct: int) -> Column:
+    """Whether sets of n1 and n2 members with at most `most` in common can reach the threshold."""
+    return F.lit(100) * most >= F.lit(threshold_pct) * (n1 + n2 - most)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold_pct: int = 80, miss: float = MISS) -> DataFrame:
@@ -230,27 +240,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_pct: int = 80, mi
     slim = slim.join(reach.select("digest"), "digest", "left_semi")
     repeats = sketches.groupBy("doc_id", "mark").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m"), "copies")
     again = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__m"))
-    reps = written(slim.join(repeats, again, "left").select("digest", "doc_id", "mark", "n", "sig", F.coalesce("copies", F.lit(1)).alias("copies")), "reps")
-    hubs = written(met.join(reach, "digest").groupBy("key").agg(F.max(F.struct("reach", "digest"))["digest"].alias("hub")), "hubs")
+    named = written(slim.join(repeats, again, "left").select("digest", "rid", "doc_id", "mark", "n", "sig", F.coalesce("copies", F.lit(1)).alias("copies")), "reps")
+    sets = written(_sets(docs, named, width), "sets")
+    # Shingles that no other class in any bucket holds can't be common to a pair: an exact bound on what it can reach.
+    alone = sets.select(F.explode("shingles").alias("s"), "rid").groupBy("s").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).where("n = 1")
+    own = alone.groupBy("rid").agg(F.count("*").alias("own"))
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    reps = named.select("digest", "rid", "n", "sig").join(own, "rid", "left").withColumn("shared", shared)
+    reps = written(reps.where(F.lit(100) * F.col("shared") >= F.lit(threshold_pct) * F.col("n")).select("digest", "n", "shared", "sig"), "able")
+    met = written(met.join(reps.select("digest", "n", "shared"), "digest"), "able_met")
+    # Those with the most in common with others come first: an original rather than one of its edited copies.
+    rank = F.struct((F.col("shared") / F.col("n")).alias("share"), "reach", "digest")
+    hubs = written(met.join(reach, "digest").groupBy("key").agg(F.max(F.struct(rank.alias("rank"), "digest", "n", "shared")).alias("h")).select("key", F.col("h.digest").alias("hub"), F.col("h.n").alias("hn"), F.col("h.shared").alias("hs")), "hubs")
     order = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    def links(pairs: DataFrame) -> DataFrame:
-        left = written(_compare(pairs, reps, threshold_pct, miss), "likely")
-        return written(_verify(left, docs, reps, width, threshold_pct), "links")
-
-    rays = written(met.join(hubs, "key").where("digest != hub").select(*order("digest", "hub")).distinct(), "pairs")
-    star = links(rays)
-    roots = components(star)
-    member = met.select("key", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
-    member = written(member, "members")
-    split = member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    open_ = written(member.join(written(split, "open"), "key", "left_semi").join(reps.select("digest", "n"), "digest"), "across")
+    def overlaps(pairs: DataFrame) -> DataFrame:
+        return written(_overlaps(written(_compare(pairs, reps, threshold_pct, miss), "likely"), sets), "overlaps")
+
+    def links(overlaps: DataFrame) -> DataFrame:
+        return overlaps.where(F.lit(100) * F.col("common") >= F.lit(threshold_pct) * F.col("united")).select("a", "b")
+
+    near = _may_reach(F.col("n"), F.col("hn"), F.least("shared", "hs"), threshold_pct)
+    rays = written(met.join(hubs, "key").where("digest != hub").where(near).select(*order("digest", "hub")).distinct(), "pairs")
+    star = overlaps(rays)
+    roots = components(links(star))
+    # From here on members meet by hub rather than by bucket, which are many for one hub and hold the same pairs.
+    circle = met.join(hubs.select("key", "hub"), "key").select("hub", "digest", "n", "shared").distinct()
+    circle = circle.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    circle = written(circle, "circles")
+    split = circle.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("hub")
+    # What members have in common with their hub bounds what two of them can have in common: at most the lesser part of
+    # the hub, and beyond the hub at most the lesser rest of what occurs elsewhere at all.
+    ends = circle.join(written(split, "open"), "hub", "left_semi").withColumns(dict(zip(("a", "b"), order("digest", "hub"), strict=True)))
+    inside = F.when(F.col("digest") == F.col("hub"), F.col("shared")).otherwise(F.col("common"))
+    open_ = ends.join(star.select("a", "b", "common"), ["a", "b"], "left").select("hub", "digest", "root", "n", "shared", inside.alias("inside"))
+    open_ = written(open_, "across")
     one, two = open_.alias("l"), open_.alias("r")
-    near = F.lit(100) * F.least("l.n", "r.n") >= F.lit(threshold_pct) * F.greatest("l.n", "r.n")
-    across = one.join(two, "key").where((F.col("l.root") < F.col("r.root")) & near).select(*order("l.digest", "r.digest"))
-    more = links(written(across.distinct().join(rays, ["a", "b"], "left_anti"), "pairs"))
-    if not more.isEmpty():
-        roots = components(star.unionByName(more))
+    by_hub = F.least("l.inside", "r.inside") + F.least(F.col("l.shared") - F.col("l.inside"), F.col("r.shared") - F.col("r.inside"))
+    known = F.col("l.inside").isNotNull() & F.col("r.inside").isNotNull()
+    most = F.least("l.shared", "r.shared", F.when(known, by_hub))
+    near = _may_reach(F.col("l.n"), F.col("r.n"), most, threshold_pct)
+    across = one.join(two, "hub").where((F.col("l.root") < F.col("r.root")) & near).select(*order("l.digest", "r.digest"))
+    rest = links(overlaps(written(across.distinct().join(rays, ["a", "b"], "left_anti"), "pairs")))
+    if not rest.isEmpty():
+        roots = components(links(star).unionByName(rest))
     linked = roots.withColumnRenamed("node", "digest").join(classes, "digest").select("digest", "root", "first")
     named = written(linked.groupBy("root").agg(F.min("first").alias("component")), "named")
     of_class = classes.join(linked.select("digest", "root").join(named, "root").select("digest", "root", "component"), "digest", "left")
