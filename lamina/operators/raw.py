@@ -38,5 +38,9 @@ def load(spark: SparkSession, base: str, feed: Feed, table: Table, at: datetime
     """Land into the raw table what it hasn't yet. Running it again inserts nothing and commits no version."""
     seen = Observation("raw")
     rows = project(scan(spark, base, feed), feed, at).observe(seen, F.count("*").alias("read"))
-    new = table.insert_new(deduplicate(rows).persist(), ["repo", "row_id"])
+    once = deduplicate(rows).persist()
+    try:
+        new = table.insert_new(once, ["repo", "row_id"])
+    finally:
+        once.unpersist()
     return LoadResult(read=seen.get["read"], written=new, version=table.manifest()["version"])

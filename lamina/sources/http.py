@@ -146,7 +146,8 @@ def changed(client: Client, feed: Feed, source: str, etag: str | None) -> tuple[
 
 def newest_event(records: list[dict], path: str) -> datetime | None:
     """The latest valid time at a dotted path."""
-    return max((t for t in (parse_iso(v) if isinstance(v := nested(r, path), str) else None for r in records) if t), default=None)
+    texts = [v for r in records if isinstance(v := nested(r, path), str)]
+    return max(filter(None, map(parse_iso, texts)), default=None)
 
 
 def ingest(client: Client, feed: Feed, source: str, checkpoint: Checkpoint | None, base: str, now: datetime, max_pages: int | None = None, per_page: int = 100) -> IngestResult:

@@ -27,7 +27,11 @@ def load_available(spark: SparkSession, base: str, feed: Feed, table: Table, che
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        table.insert_new(deduplicate(project(batch, feed, at)), ["repo", "row_id"])
+        once = deduplicate(project(batch, feed, at)).persist()
+        try:
+            table.insert_new(once, ["repo", "row_id"])
+        finally:
+            once.unpersist()
 
     query = lines(spark, base, feed, files_per_batch=files_per_batch).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
