@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
-        return given.rstrip("/")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(given)
+        whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+        return re.sub(r"^file:/+", "file:///", whole.rstrip("/"))
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="lamina-shared-")
@@ -28,7 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/lamina-{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/lamina-{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every folder that scratch() gave out; for the end of a job, when its results are written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _made:
+        folder = path(_made.pop())
+        gone += folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return gone
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

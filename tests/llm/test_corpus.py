@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, decontaminate, induced, langid, minhash, mixing, pii, queries, sharding, suffix, topk, warc
+from lamina.llm import chat, common, decontaminate, induced, langid, minhash, mixing, pii, queries, sharding, suffix, topk, warc
 from lamina.llm.components import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, rid long, mark string, shard string"
@@ -265,11 +265,14 @@ def test_decontamination(spark, small, docs, awkward, empty, broadcast_bytes):
             assert got == brute_hits([(r.doc_id, r.text) for r in src.collect()], items)
 
 
-def test_contaminated_documents_go(spark, small, docs):
+def test_contaminated_documents_go(spark, small, docs, awkward, empty):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     hit = {k[0] for k in brute_hits([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()]) if k[5]}
     left = decontaminate.drop_contaminated(docs, bench)
     assert hit and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - hit and left.columns == docs.columns
+    odd = bench.unionByName(spark.createDataFrame([(99, "kappa lambda mu alpha beta gamma delta epsilon zeta eta theta iota")], "item_id long, text string"))
+    assert Counter(r.doc_id for r in decontaminate.drop_contaminated(awkward, odd).collect()) == Counter(i for i, t, *_ in AWKWARD if t is None or "kappa" not in t)
+    assert decontaminate.drop_contaminated(empty, bench).count() == 0 and decontaminate.drop_contaminated(awkward, bench.limit(0)).count() == len(AWKWARD)
     spans = {r.doc_id: r.clean_words for r in decontaminate.remove_spans(docs, bench).collect()}
     report = {r.doc_id: r for r in decontaminate.decontamination_report(docs, bench).collect()}
     assert all(len(spans[i]) == r.n_words - r.n_hit for i, r in report.items())
@@ -300,7 +303,7 @@ def test_mixing(spark, awkward, empty):
     assert -sum(x * math.log(x) for x in w.values()) == pytest.approx(0.95 * math.log(len(share)), abs=0.01)
     assert sum(r["n_tokens"] for r in even) == pytest.approx(4000, abs=30)
     assert table(mixing.mix(src, max_repetition=3.0, blocks=8).orderBy("rid", "epoch")) == table(mixing.mix(src, max_repetition=3.0, blocks=8).orderBy("rid", "epoch"))
-    assert mixing.mix(empty).count() == 0 and Counter(r["doc_id"] for r in table(mixing.mix(awkward, 1.0))) == Counter(i for i, *_ in AWKWARD)
+    assert mixing.mix(empty).count() == mixing.mixed_documents(empty).count() == 0 and Counter(r["doc_id"] for r in table(mixing.mix(awkward, 1.0))) == Counter(i for i, *_ in AWKWARD)
     assert mixing.mixed_documents(awkward).columns == awkward.columns and {r.doc_id for r in mixing.mixed_documents(awkward).collect()} == {i for i, *_ in AWKWARD}
     assert mixing.mixed_documents(src, max_repetition=3.0, blocks=8).count() == pytest.approx(len(got), abs=3 * len(share))  # another key: each source's cut falls on another document
 
@@ -468,6 +471,11 @@ def test_code_lengths_are_a_distribution():
 # --- the queries
 
 
+def test_shared_folder(spark):
+    kept = common.written(spark.range(3), "probe")
+    assert kept.count() == 3 and common.shared_dir(spark).startswith("file:") and common.clear(spark) > 0
+
+
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
