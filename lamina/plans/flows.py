@@ -20,6 +20,11 @@ class MissingTable(RuntimeError):
     pass
 
 
+def totals(results: Sequence[IngestResult]) -> dict[str, int]:
+    """Sums over one ingestion: sources, those unchanged, those in error, and records."""
+    return {"sources": len(results), "skipped": sum(r.skipped for r in results), "errors": sum(bool(r.error) for r in results), "records": sum(r.records for r in results)}
+
+
 class Lakehouse:
     """The tables of one feed under one folder."""
 
@@ -39,6 +44,11 @@ class Lakehouse:
             if not getattr(self, name).exists():
                 raise MissingTable(f"no table {name}: run load_{name} first")
 
+    def tables(self) -> list[tuple[str, int]]:
+        """The tables that have a version, and their last one."""
+        known = {n: getattr(self, n) for n in ("raw", "typed", "quarantine", "history")} | {"control": self.ledger.table}
+        return [(n, t.versions()[-1]) for n, t in known.items() if t.exists()]
+
     def ingest(self, client: Client, now: datetime, sources: Sequence[str] = SCOPE, **limits: int) -> list[IngestResult]:
         """Every source on its own: an error of one leaves its mark and ETag as they were, and the others go on."""
         results, marks = [], []

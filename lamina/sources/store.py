@@ -70,6 +70,11 @@ class Table:
             raise ConcurrentCommit(f"{self.path}: version {version} exists")
         return version
 
+    def describe(self) -> DataFrame:
+        """name, type, nullable and comment of every column, as the last version has them."""
+        rows = [(f.name, f.dataType.simpleString(), f.nullable and f.name not in self.not_null, (f.metadata or {}).get("comment")) for f in self.schema or []]
+        return self.spark.createDataFrame(rows, "name string, type string, nullable boolean, comment string")
+
     # --- reading
 
     @property

@@ -130,7 +130,7 @@ def test_data_source(spark):
 
 
 def test_ingestion_of_many_sources(spark, tmp_path):
-    from lamina.plans.flows import Lakehouse
+    from lamina.plans.flows import Lakehouse, totals
 
     class Mixed(Canned):
         def get(self, url, headers, params, timeout):
@@ -139,4 +139,6 @@ def test_ingestion_of_many_sources(spark, tmp_path):
     house = Lakehouse(spark, f"{tmp_path}/lake")
     got = house.ingest(Client("t", "https://api.test", Mixed(), sleep=lambda s: None), NOW.replace(tzinfo=None), ["o/r", "o/bad", "o/s"])
     assert [bool(r.error) for r in got] == [False, True, False] and house.ledger.get("o/bad", "commits").status == "error" and house.ledger.get("o/s", "commits").records == 3
-    assert house.load_raw(NOW.replace(tzinfo=None)).written == 6
+    assert totals(got) == {"sources": 3, "skipped": 0, "errors": 1, "records": 6}
+    assert house.load_raw(NOW.replace(tzinfo=None)).written == 6 and [n for n, _ in house.tables()] == ["raw", "control"]
+    assert [r.nullable for r in house.raw.describe().where("name in ('repo', 'dt')").orderBy("name").collect()] == [True, False]
