@@ -5,6 +5,7 @@
    windows with the same least gram travel as one string. A first round sends only hashes and learns, as one bit each,
    which of them occur more than once; a second sends the strings behind those, each distinct one of a batch once, with
    the smallest doc_id that holds it.
+   A gram that very many batches share would make one shard heavy; its windows are dealt singly, by a hash of the whole.
 3. In a shard the distinct strings are suffix-sorted by induced sorting (see induced.py); runs of suffixes that share
    `window` bytes are equal windows, and the smallest doc_id of a run is sent back to every batch that asked.
 4. Each batch removes from its documents what a smaller doc_id holds.
@@ -34,7 +35,9 @@ WINDOW = 50
 GRAM = 16
 BATCH_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
-SHARDS = (24, 4096)
+FEW_SHARDS, MANY_SHARDS = 24, 4096  # beyond many, shards grow too: their number and their size each as a root of the corpus
+RESOLVE_BYTES = 96 << 20  # strings that a shard has in memory at once
+HOT_BATCHES = 1000  # a least gram in more batches than this is hot
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
 _PACKED = pa.schema([("group", pa.int32()), ("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -131,14 +134,17 @@ class _Batch:
         mixed = mix64(self.least.copy())
         return (mixed >> np.uint64(40)) % np.uint64(shards), mixed & np.uint64(0xFFFFFFFF)
 
+    def hashes(self, start: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """A hash of the bytes at each place, the same wherever they are."""
+        up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(self.data), c, np.uint64))) for c in (_C, _INVERSE))
+        sums = np.append(np.uint64(0), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1]))
+        return mix64((sums[start + span] - sums[start]) * down[start] ^ span.astype(np.uint64) * _B)
+
     def distinct(self, which: np.ndarray, shard: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct ones of the strings `which`, by shard and key: (an occurrence, smallest id, hash, for each of `which` its distinct one)."""
         if not len(which):
             return which, which, self.least[:0], which
-        start, span = self.start[which], self.size[which] + self.window - 1
-        up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(self.data), c, np.uint64))) for c in (_C, _INVERSE))
-        sums = np.append(np.uint64(0), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1]))
-        code = mix64((sums[start + span] - sums[start]) * down[start] ^ span.astype(np.uint64) * _B)
+        code = self.hashes(self.start[which], self.size[which] + self.window - 1)
         place = shard[which] << np.uint64(32) | key[which]
         by = np.lexsort((code, place))
         w, code, place = which[by], code[by], place[by]
@@ -173,8 +179,8 @@ def _hashes(row: dict, window: int, shards: int) -> Iterator[dict]:
         yield {"shard": s, "group": row["group"], "batch": row["batch"], "blob": _pack(planes, np.packbits(n[i:j] > 1))}
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Per shard: one bit for every key of every batch, whether it occurs more than once anywhere."""
+def _repeated(table: pa.Table, hot_batches: int) -> pa.Table:
+    """Per shard: bits for every key of every batch: whether it occurs more than once anywhere, and whether it is hot."""
     parts = []
     for blob in table.column("blob").to_pylist():
         planes, twice = _unpack(blob, np.uint8, np.uint8)
@@ -183,25 +189,39 @@ def _repeated(table: pa.Table) -> pa.Table:
     keys = np.concatenate([k for k, _ in parts])
     every = np.sort(np.concatenate([keys, *(k[t] for k, t in parts)]))
     many = np.unique(every[1:][every[1:] == every[:-1]])
-    many = np.append(many, np.uint32(0xFFFFFFFF))  # a false positive at most; batches' keys are sorted, so this walks through memory
-    out = [np.packbits(many[np.searchsorted(many[:-1], k)] == k).tobytes() for k, _ in parts]
+    every = np.sort(keys)
+    hot = np.unique(every[hot_batches:][every[hot_batches:] == every[:-hot_batches]]) if len(every) > hot_batches else every[:0]
+
+    def among(known: np.ndarray, k: np.ndarray) -> bytes:
+        last = np.append(known, np.uint32(0xFFFFFFFF))  # a false positive at most; a batch's keys are sorted, so this walks through memory
+        return np.packbits(last[np.searchsorted(known, k)] == k).tobytes()
+
+    out = [among(many, k) + among(hot, k) for k, _ in parts]
     return pa.table([table.column("shard"), table.column("group"), table.column("batch"), pa.array(out, pa.binary())], schema=_BLOB)
 
 
-def _chosen(b: _Batch, bits: dict[int, bytes], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The strings whose key occurs more than once, with shard and key of all strings."""
+def _choose(b: _Batch, bits: dict[int, bytes], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leave a batch the strings whose key occurs more than once, cut to single windows where it is hot; their numbers, shards and keys."""
     shard, key = b.keyed(shards)
     both, at = np.unique(shard << np.uint64(32) | key, return_inverse=True)
-    keep = np.zeros(len(both), bool)
+    keep, hot = np.zeros(len(both), bool), np.zeros(len(both), bool)
     for s, i, j in _cuts((both >> np.uint64(32)).astype(np.int64), shards):
-        keep[i:j] = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=j - i).astype(bool)
-    return np.flatnonzero(keep[at]), shard, key
+        own = np.frombuffer(bits[s], np.uint8)
+        keep[i:j], hot[i:j] = (np.unpackbits(x, count=j - i).astype(bool) for x in np.split(own, 2))
+    calm, busy = np.flatnonzero((keep & ~hot)[at]), np.flatnonzero((keep & hot)[at])
+    n = b.size[busy]
+    start = np.repeat(b.start[busy] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    whole = b.hashes(start, np.full(len(start), b.window)) if len(start) else b.least[:0]
+    b.doc = np.concatenate([b.doc[calm], np.repeat(b.doc[busy], n)])
+    b.start, b.size = np.concatenate([b.start[calm], start]), np.concatenate([b.size[calm], np.ones(len(start), np.int64)])
+    b.least = np.concatenate([b.least[calm], whole])
+    return np.arange(len(b.start)), *b.keyed(shards)
 
 
 def _strings(row: dict, window: int, shards: int, bits: dict[int, bytes]) -> Iterator[dict]:
     """Round two: per shard the distinct strings of a batch with repeated keys, each with its key, smallest id and hash."""
     b = _Batch(row, window)
-    which, shard, key = _chosen(b, bits, shards)
+    which, shard, key = _choose(b, bits, shards)
     first, least, code, _ = b.distinct(which, shard, key)
     for s, i, j in _cuts(shard[first].astype(np.int64), shards):
         part = first[i:j]
@@ -229,12 +249,37 @@ def _least_in(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray, ids: np.
     return place[pick], starts
 
 
-def _resolve(table: pa.Table, window: int, folder: str) -> pa.Table:
-    """Per shard: for every string that a batch sent, runs of windows (offset, smallest id)."""
-    parts = [_unpack(blob, np.uint32, np.uint32, np.int64, np.uint64, np.uint8) for blob in table.column("blob").to_pylist()]
+def _resolve(table: pa.Table, window: int, folder: str, memory: int) -> pa.Table:
+    """Per shard: for every string that a batch sent, runs of windows (offset, smallest id).
+
+    A large shard is worked off in ranges of its keys, so that only a bounded part of its strings is out of its
+    compressed blobs at a time; strings that share a window share the key.
+    """
+    blobs = table.column("blob").to_pylist()
+    steps = max(1, -(-sum(map(zstandard.frame_content_size, blobs)) // memory))
+    out: list[list[list[np.ndarray]]] = [[] for _ in blobs]
+    for step in range(steps):
+        ends = np.array([step * 2**32 // steps, (step + 1) * 2**32 // steps], np.uint64)
+        parts = []
+        for blob in blobs:
+            span, key, least, code, raw = _unpack(blob, np.uint32, np.uint32, np.int64, np.uint64, np.uint8)
+            a, e = np.searchsorted(key.astype(np.uint64), ends).tolist()
+            at = np.append(0, np.cumsum(span, dtype=np.int64))
+            parts.append([span[a:e], key[a:e], least[a:e], code[a:e], raw[at[a] : at[e]]])
+            if steps > 1:
+                parts[-1] = [x.copy() for x in parts[-1]]
+        for held, found in zip(out, _resolve_part(parts, window, folder), strict=True):
+            held.append(found)
+    packed = [_pack(*(np.concatenate(x) for x in zip(*held, strict=True))) for held in out]
+    return pa.table([table.column("shard"), table.column("group"), table.column("batch"), pa.array(packed, pa.binary())], schema=_BLOB)
+
+
+def _resolve_part(parts: list[list[np.ndarray]], window: int, folder: str) -> list[list[np.ndarray]]:
+    """For each batch's strings (length, key, smallest id, hash, bytes): number of runs, and their offsets and smallest ids."""
     counts = [len(x[0]) for x in parts]
     span, key, least, code, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
+    if not len(span):
+        return [[np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.int64)] for _ in parts]
     span = span.astype(np.int64)
     start = np.cumsum(span) - span
     # Equal strings that this order might keep apart would only be sorted as two.
@@ -272,9 +317,9 @@ def _resolve(table: pa.Table, window: int, folder: str) -> pa.Table:
         mine = which[at : at + n]
         each = runs[mine]
         index = np.arange(int(each.sum())) + np.repeat(run_start[mine] - (np.cumsum(each) - each), each)
-        out.append(_pack(each.astype(np.uint32), offset[index], low[index]))
+        out.append([each.astype(np.uint32), offset[index], low[index]])
         at += n
-    return pa.table([table.column("shard"), table.column("group"), table.column("batch"), pa.array(out, pa.binary())], schema=_BLOB)
+    return out
 
 
 def _removed(row: dict, window: int, shards: int, bits: dict[int, bytes], replies: dict[int, bytes]) -> tuple[_Batch, np.ndarray]:
@@ -282,7 +327,7 @@ def _removed(row: dict, window: int, shards: int, bits: dict[int, bytes], replie
     b = _Batch(row, window)
     cover = np.zeros(len(b.data) + 1, np.int32)
     if len(b.start):
-        which, shard, key = _chosen(b, bits, shards)
+        which, shard, key = _choose(b, bits, shards)
         first, _, _, at = b.distinct(which, shard, key)
         parts = [_unpack(replies[s], np.uint32, np.uint32, np.int64) for s, _, _ in _cuts(shard[first].astype(np.int64), shards)]
         if parts:
@@ -300,7 +345,7 @@ def _removed(row: dict, window: int, shards: int, bits: dict[int, bytes], replie
     return b, np.cumsum(cover[:-1]) > 0
 
 
-def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removed_spans(docs: DataFrame, window: int = WINDOW, hot_batches: int = HOT_BATCHES, memory: int = RESOLVE_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, length in bytes) for every row of docs.
 
     Removed is every byte covered by a `window`-byte string that also starts in a document of smaller doc_id, judged on
@@ -311,7 +356,8 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     packed = _batches(docs)
     size = packed.agg(F.sum(F.element_at("offsets", -1))).first()[0] or 0
-    shards = min(max(SHARDS[0], -(-size // SHARD_BYTES)), SHARDS[1])
+    shards = max(FEW_SHARDS, -(-size // SHARD_BYTES))
+    shards = shards if shards <= MANY_SHARDS else int((MANY_SHARDS * shards) ** 0.5)
     folder = scratch(spark, "queues")
 
     def rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -348,7 +394,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         yield from emit(x for batch in batches for row in rows(batch) for x in _hashes(row, window, shards))
 
     hashes = packed.mapInArrow(one, _BLOB_DDL)
-    bits_at = sent_back(hashes.groupBy("shard").applyInArrow(_repeated, _BLOB_DDL), "bits")
+    bits_at = sent_back(hashes.groupBy("shard").applyInArrow(lambda t: _repeated(t, hot_batches), _BLOB_DDL), "bits")
 
     def two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[dict]:
@@ -362,7 +408,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         yield from emit(found())
 
     strings = packed.mapInArrow(two, _BLOB_DDL)
-    least_at = sent_back(strings.groupBy("shard").applyInArrow(lambda t: _resolve(t, window, folder), _BLOB_DDL), "least")
+    least_at = sent_back(strings.groupBy("shard").applyInArrow(lambda t: _resolve(t, window, folder, memory), _BLOB_DDL), "least")
 
     def three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bits, least = None, {}, {}

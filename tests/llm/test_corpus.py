@@ -385,11 +385,16 @@ def test_suffix_dedup(request, which, monkeypatch):
     assert got == brute_removed([(r.doc_id, r.text) for r in src.collect()])
 
 
-def test_suffix_dedup_of_repetitive_texts(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_suffix_dedup_of_repetitive_texts(spark, monkeypatch, hot):
+    """Also with keys that count as hot, small shards, and shards worked off in parts."""
+    if hot == 2:
+        for name, value in (("BATCH_BYTES", 3000), ("SHARD_BYTES", 1000), ("MANY_SHARDS", 25)):
+            monkeypatch.setattr(suffix, name, value)
     rng = np.random.default_rng(5)
     words = ["ab", "abab", "----------", "é", " ", "the passage that many share, word for word, and then some more of it"]
     rows = [(int(i), "".join(rng.choice(words, rng.integers(0, 40)))) for i in rng.permutation(150)]
-    got = Counter(tuple(r)[:5] for r in suffix.removed_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    got = Counter(tuple(r)[:5] for r in suffix.removed_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot_batches=hot, memory=3000 if hot == 2 else 1 << 26).collect())
     assert got == brute_removed(rows)
 
 
