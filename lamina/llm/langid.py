@@ -172,12 +172,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     """docs' columns (or those in `keep`) with lang_pred and score (the posterior under equal priors, 0 to 1), from the text alone.
 
     A null text, or one without a letter, is `und` with score 0, as is every text where no language was learned. Equal
-    code lengths go to the first language by name. Repeated rows each stay; an empty table gives none.
+    code lengths go to the first language by name. Repeated rows each stay; an empty table gives none; columns of docs
+    called lang_pred or score give way to the prediction.
     """
-    own = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in keep or docs.columns if c.lower() not in ("lang_pred", "score")]
+    return _scored(docs, model, own).withColumnsRenamed({"__pred": "lang_pred", "__score": "score"})
+
+
+def _scored(docs: DataFrame, model: Model, own: list[str]) -> DataFrame:
+    """The columns `own` of docs, whatever their names, with __pred and __score."""
     fields = [docs.schema[c] for c in own]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__pred string", "__score double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -194,7 +200,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                     for i in np.flatnonzero(has):
                         names[i] = model.langs[best[i]]
                     scores = np.where(has, posterior, 0.0)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(names), pa.array(scores)], names=[*own, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(names), pa.array(scores)], names=[*own, "__pred", "__score"])
 
     return docs.select(*dict.fromkeys([*own, "text"]), letters(F.col("text")).alias("__letters")).mapInArrow(score, ddl)
 
@@ -206,5 +212,11 @@ def identify(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFram
 
 
 def keep_identified(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """docs without the rows whose text is in no language at all (null, or without a letter)."""
-    return predict(docs, fit(docs, per_language)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """docs without the rows whose text is in no language at all (null, or without a letter); all columns stay as they are.
+
+    Where no row has a language to learn from there is nothing to tell languages apart by, and letters alone decide.
+    """
+    model = fit(docs, per_language)
+    if not model.langs:
+        return docs.where(letters(F.col("text")))
+    return _scored(docs, model, docs.columns).where(F.col("__pred") != UNKNOWN).select(*docs.columns)

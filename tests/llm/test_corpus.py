@@ -453,6 +453,12 @@ def test_language(spark, small, awkward, empty):
     assert {r.lang_pred for r in nothing} == {"und"}
     kept = langid.keep_identified(awkward)
     assert kept.columns == awkward.columns and kept.count() == sum(any(c.isalpha() for c in t or "") for _, t, *_ in AWKWARD)
+    clashing = awkward.withColumn("score", F.lit("own")).withColumn("Lang_Pred", F.lit(5))
+    kept = langid.keep_identified(clashing)
+    assert kept.columns == clashing.columns and {(r.score, r.Lang_Pred) for r in kept.collect()} == {("own", 5)}
+    assert langid.predict(clashing, langid.fit(clashing)).columns == [*awkward.columns, "lang_pred", "score"]
+    unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(unlabelled).count() == kept.count()
 
 
 def test_code_lengths_are_a_distribution():
