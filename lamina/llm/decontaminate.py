@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 
 WINDOW = 10
 BROADCAST_BYTES = 256 << 20
+BROADCAST_ROWS = 500_000  # ids and hashes of contaminated documents, about 30 MB
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -100,17 +101,19 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.0) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs without those of which more than `max_share` of the words lie in benchmark windows.
 
-    The contaminated ids are few but not bounded, so they leave by an anti join on doc_id and a hash of the text; rows
-    of another text under the same doc_id stay.
+    The contaminated ids are written and counted, then leave by an anti join on doc_id and a hash of the text: broadcast
+    up to `broadcast_rows` of them, so that the texts that stay aren't shuffled, and by shuffle beyond. Rows of another
+    text under the same doc_id stay.
     """
     mark = F.xxhash64("text")
     keyed = docs.withColumn("__mark", mark)
     seen = scan(keyed, benchmark, window, keys=("doc_id", "__mark"))
-    bad = seen.where(covered(F.col("hits")) > F.lit(max_share) * F.col("n_words")).select("doc_id", "__mark").distinct()
-    left, right = keyed.alias("l"), bad.alias("r")
+    bad = written(seen.where(covered(F.col("hits")) > F.lit(max_share) * F.col("n_words")).select("doc_id", "__mark").distinct(), "contaminated")
+    small = F.broadcast(bad) if bad.count() <= broadcast_rows else bad.hint("merge")
+    left, right = keyed.alias("l"), small.alias("r")
     return left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.__mark") == F.col("r.__mark")), "left_anti").drop("__mark")
 
 

@@ -271,7 +271,9 @@ def test_contaminated_documents_go(spark, small, docs, awkward, empty):
     left = decontaminate.drop_contaminated(docs, bench)
     assert hit and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - hit and left.columns == docs.columns
     odd = bench.unionByName(spark.createDataFrame([(99, "kappa lambda mu alpha beta gamma delta epsilon zeta eta theta iota")], "item_id long, text string"))
-    assert Counter(r.doc_id for r in decontaminate.drop_contaminated(awkward, odd).collect()) == Counter(i for i, t, *_ in AWKWARD if t is None or "kappa" not in t)
+    for rows in (decontaminate.BROADCAST_ROWS, 0):
+        left = decontaminate.drop_contaminated(awkward, odd, broadcast_rows=rows)
+        assert Counter(r.doc_id for r in left.collect()) == Counter(i for i, t, *_ in AWKWARD if t is None or "kappa" not in t)
     assert decontaminate.drop_contaminated(empty, bench).count() == 0 and decontaminate.drop_contaminated(awkward, bench.limit(0)).count() == len(AWKWARD)
     spans = {r.doc_id: r.clean_words for r in decontaminate.remove_spans(docs, bench).collect()}
     report = {r.doc_id: r for r in decontaminate.decontamination_report(docs, bench).collect()}
