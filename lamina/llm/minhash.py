@@ -230,9 +230,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_pct: int = 80, mi
     bands, rows = bands_for(threshold_pct / 100)
     sketches = written(_sketches(docs, width, bands, rows), "sketches")
     classes = written(sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid")), "classes")
-    # Each class's rows are reduced to band keys before the shuffle; only buckets with several classes go on.
-    placed = sketches.where("digest is not null").select(F.explode("keys").alias("key"), "digest").distinct()
-    placed = written(placed, "placed")
+    # Of each class one row gives the band keys, so these needn't be made distinct; only buckets with several classes go on.
+    one_each = sketches.select("rid", "digest", "keys").join(classes.select("rid"), "rid", "left_semi")
+    placed = written(one_each.select(F.explode("keys").alias("key"), "digest"), "placed")
     sizes = written(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     met = written(placed.join(sizes, "key"), "met")
     reach = written(met.groupBy("digest").agg(F.sum("size").alias("reach")), "reach")
