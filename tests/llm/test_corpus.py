@@ -218,6 +218,17 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == len(values) == 400 and not values & {c for _, c in rows}
 
 
+def test_secrets_of_letters_alone(spark):
+    """Replaced also where the text holds no digit, @ or title, and as in a text that does."""
+    keys = ["sk-" + "aBcDeFgHiJ" * 2, "ghp_" + "aBcDeF" * 6, "AKIA" + "QRSTUVWX" * 2, "abcdef" * 6, "ABCDEF" * 6]
+    rows = [(2 * n + d, f"the key {k} is{' 7' * d} here") for n, k in enumerate(keys) for d in (0, 1)]
+    got = {r["doc_id"]: r for r in table(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")))}
+    for n, k in enumerate(keys):
+        alone, beside = got[2 * n], got[2 * n + 1]
+        assert alone["n_entities"] == beside["n_entities"] == 1 and k not in alone["text"], k
+        assert beside["text"] == alone["text"].replace(" is ", " is 7 "), k
+
+
 def test_clean_documents_keep_their_text(docs):
     seen = {r["doc_id"]: r for r in table(pii.replace_pii(docs))}
     for r in docs.collect():
