@@ -229,6 +229,16 @@ def test_secrets_of_letters_alone(spark):
         assert beside["text"] == alone["text"].replace(" is ", " is 7 "), k
 
 
+def test_long_secrets(spark):
+    """However long a key is, it is replaced whole."""
+    keys = [c * n for c, n in (("0a", 64), ("0a", 65), ("0A", 3000))] + [f"{p}{'aB3' * n}" for p, n in (("sk-", 22), ("sk-", 9000), ("ghp_", 40))]
+    rows = [(n, f"key {k} end") for n, k in enumerate(keys)]
+    for r in table(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"))):
+        k = keys[r["doc_id"]]
+        value = r["text"].removeprefix("key ").removesuffix(" end")
+        assert r["n_entities"] == 1 and r["kinds"] == ["secret"] and len(value) == len(k) and k[4:24] not in value, k[:9]
+
+
 def test_clean_documents_keep_their_text(docs):
     seen = {r["doc_id"]: r for r in table(pii.replace_pii(docs))}
     for r in docs.collect():
