@@ -17,6 +17,14 @@ ATTEMPTS = 40
 # Titles that precede a name, and the shapes of each type. All repeats are bounded, possessive or exclude each other.
 _MALE = r"Mr|Mister|Herr|Monsieur|Señor|Sr|Господин"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
+# A word of a name: inner capitals, apostrophes and hyphens (not the 's of a genitive), no title of a further name.
+_WORD = (
+    rf"(?!(?:{_MALE}|{_FEMALE})\.? \p{{Lu}})(?:\p{{Ll}}{{1,2}}['’])?\p{{Lu}}[\p{{L}}\p{{M}}]*+"
+    r"(?:(?:[-‐‑]|['’](?![sS](?![\p{L}\p{M}])))\p{L}[\p{L}\p{M}]*+)*+"
+)
+# Names go on over spaces, the points of initials and of a few short forms, and these particles.
+_NEXT = r"(?: |(?<=[ .-]\p{Lu}|[ .](?:Dr|St)|[ .]Prof)\.[ -]?)"
+_PARTICLE = r"(?:(?:von|van|de|del|della|di|da|dos|du)(?: (?:der|den|dem|la|las|los|le))? )?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
@@ -26,8 +34,10 @@ SHAPES = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "card": r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\w)",
-    "person": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{Ll}}{{1,24}}+(?: \p{{Lu}}\p{{Ll}}{{1,24}}+)?",
+    "person": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_PARTICLE}{_WORD}(?:{_NEXT}{_PARTICLE}{_WORD})*+",
 }
+#: The stretches of a name: letters, or what parts them.
+RUNS = r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"
 ANY = "|".join(f"(?:{p})" for p in SHAPES.values())
 #: What every entity holds, secrets of letters alone too; a text without it is passed by without the full pattern.
 HINT = rf"[0-9@]|sk-|AKIA|gh[pousr]_|[a-f]{{32}}|[A-F]{{32}}|(?:{_MALE}|{_FEMALE})\.? "
@@ -42,8 +52,8 @@ def kind(entity: Column) -> Column:
 
 
 def canonical(kind_: Column, entity: Column) -> Column:
-    """What all spellings of one entity share: e-mail addresses in lower case, names without title, others without separators."""
-    name = F.regexp_replace(entity, rf"^(?:{_MALE}|{_FEMALE})\.? ", "")
+    """What all spellings of one entity share: e-mail addresses and names in lower case, names without title, others without separators."""
+    name = F.translate(F.lower(F.regexp_replace(entity, rf"^(?:{_MALE}|{_FEMALE})\.? ", "")), "’‐‑", "'--")
     gender = F.when(entity.rlike(rf"^(?:{_FEMALE})\b"), F.lit("f:")).otherwise(F.lit("m:"))
     return (
         F.when(kind_ == "email", F.lower(entity)).when(kind_ == "person", F.concat(gender, name)).when(kind_ == "ip", entity)
@@ -79,6 +89,10 @@ def _luhn(digits: Column) -> Column:
 def surrogate(kind_: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The keyed replacement of a canonical entity at one attempt, of the same type and layout."""
     seed = F.sha2(F.concat_ws("\u0001", F.lit(key), kind_, canon, attempt.cast("string")), 256)
+    return F.transform(F.array(seed), lambda once: _drawn(kind_, canon, attempt, once))[0]
+
+
+def _drawn(kind_: Column, canon: Column, attempt: Column, seed: Column) -> Column:
     chars = lambda s: F.split(s, "")
     plain = lambda s, **how: F.array_join(F.transform(chars(s), lambda c, i: _same_class(seed, c, i, **how)), "")
     tld = F.regexp_extract(canon, r"\.\p{L}+$", 0)
@@ -98,14 +112,18 @@ def surrogate(kind_: Column, canon: Column, attempt: Column, key: str) -> Column
     check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10))
     shift = F.when(_luhn(canon) % 10 == 0, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(seed), F.lit(9)).cast("int"))
     card = F.concat(body, F.pmod(check + shift, F.lit(10)).cast("string"))
-    # A name keeps its number of words and initials' case; given names end as is usual for the gender.
+    # A name keeps its stretches of letters, initials and what parts them; given names end as is usual for the gender.
     latin = ~canon.rlike(r"\p{IsCyrillic}")
     def name(w: Column, i: Column) -> Column:
         syllable = lambda k: F.when(latin, F.concat(_pick(seed, i * 8 + k, "bdfglmnrstv"), _pick(seed, i * 8 + k + 4, "aeiou"))).otherwise(F.concat(_pick(seed, i * 8 + k, "бдглмнрств"), _pick(seed, i * 8 + k + 4, "аеиоу")))
         end = F.when(canon.startswith("f:"), F.when(latin, F.lit("na")).otherwise(F.lit("на"))).otherwise(F.when(latin, F.lit("ron")).otherwise(F.lit("рон")))
-        return F.initcap(F.concat(syllable(0), syllable(1), syllable(2), F.when(i == 0, end).otherwise(F.lit(""))))
+        initial = _pick(seed, i * 8, "abcdefghijklmnoprstuvwyz")
+        initial = F.when(latin, initial).otherwise(_pick(seed, i * 8, "абвгдезиклмнопрстуфя"))
+        long = F.concat(syllable(0), syllable(1), syllable(2), F.when(i == 0, end).otherwise(F.lit("")))
+        return F.when(~w.rlike(r"^\p{L}"), w).when(F.char_length(w) == 1, initial).otherwise(long)
 
-    person = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(F.split(F.substring(canon, F.lit(3), F.char_length(canon)), " "), name), " "))
+    words = F.regexp_extract_all(F.substring(canon, F.lit(3), F.char_length(canon)), F.lit(RUNS), F.lit(0))
+    person = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(words, name), ""))
     return (
         F.when(kind_ == "email", email).when(kind_ == "ip", ip).when(kind_ == "secret", secret).when(kind_ == "iban", iban).when(kind_ == "card", card)
         .when(kind_ == "person", person).otherwise(plain(canon))
@@ -118,8 +136,15 @@ def spell(kind_: Column, entity: Column, value: Column) -> Column:
     place = lambda i: F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), r"[^0-9A-Za-z]", ""))
     laid = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(value, place(i), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(value, i + 1, F.lit(1)))).otherwise(F.substring(value, i + 1, F.lit(1)))), "")
+
+    def word(e: Column, v: Column) -> Column:
+        shape = F.when(e.rlike(r"^\p{Lu}{2}") & ~e.rlike(r"\p{Ll}"), F.upper(v)).when(e.rlike(r"^\p{Ll}"), v).otherwise(F.initcap(v))
+        return F.when(e.rlike(r"^\p{L}"), shape).otherwise(e)
+
+    runs = lambda s: F.regexp_extract_all(s, F.lit(RUNS), F.lit(0))
+    named = F.array_join(F.zip_with(runs(F.substring(entity, F.char_length(title) + 1, F.char_length(entity))), runs(F.substring(value, F.lit(3), F.char_length(value))), word), "")
     return (
-        F.when(kind_ == "email", cased).when(kind_ == "person", F.concat(title, F.substring(value, F.lit(3), F.char_length(value))))
+        F.when(kind_ == "email", cased).when(kind_ == "person", F.concat(title, named))
         .when(kind_.isin("ip", "secret"), value).otherwise(laid)
     )
 

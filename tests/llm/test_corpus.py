@@ -239,6 +239,23 @@ def test_long_secrets(spark):
         assert r["n_entities"] == 1 and r["kinds"] == ["secret"] and len(value) == len(k) and k[4:24] not in value, k[:9]
 
 
+def test_titled_names_go_whole(spark):
+    """No part of a name stays, what follows it does, and layout, case and identity are kept."""
+    capital, word = r"[A-Z]\w+", r"[A-Z][a-z]+"
+    cases = [
+        ("Mr. McDonald came", rf"Mr\. {word} came"), ("Mrs. Anne-Marie Smith came", rf"Mrs\. {word}-{word} {word} came"), ("Mr. Juan Carlos Garcia came", rf"Mr\. {word} {word} {word} came"),
+        ("Mr. O'Brien came", rf"Mr\. [A-Z]'{word} came"), ("Mr. O’Brien’s dog", rf"Mr\. [A-Z]’{word}’s dog"), ("Mr. SMITH came", r"Mr\. [A-Z]{5,} came"), ("Mr. Smith's dog", rf"Mr\. {word}'s dog"),
+        ("Mr. J. R.R. Tolkien came", rf"Mr\. [A-Z]\. [A-Z]\.[A-Z]\. {word} came"), ("Mr. Stone Mrs. Lee came", rf"Mr\. {word} Mrs\. {word} came"), ("Frau Dr. Merkel kam", rf"Frau {word}\. {word} kam"),
+        ("Ms. Juana de la Cruz came", rf"Ms\. {word} [a-z]+ [a-z]+ {word} came"), ("Mr. " + "Aaa " * 2000 + "came", rf"Mr\. (?:{word} ){{2000}}came"), ("Mr. Smith. The end", rf"Mr\. {word}\. The end"),
+    ]
+    got = {r["doc_id"]: r for r in table(pii.replace_pii(spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "doc_id long, text string")))}
+    for n, (t, shape) in enumerate(cases):
+        mine = got[n]["text"]
+        assert re.fullmatch(shape, mine), (t[:40], mine[:60])
+        assert set(re.findall(capital, t)) & set(re.findall(capital, mine)) <= {"Mr", "Mrs", "Ms", "Frau", "The"}, (t[:40], mine[:60])
+    assert got[3]["text"].split()[1][2:] == got[4]["text"].split()[1][2:-2] and got[5]["text"].split()[1] == got[6]["text"].split()[1][:-2].upper()
+
+
 def test_clean_documents_keep_their_text(docs):
     seen = {r["doc_id"]: r for r in table(pii.replace_pii(docs))}
     for r in docs.collect():
