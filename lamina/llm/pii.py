@@ -13,6 +13,7 @@ from .common import written
 
 KEY = "change-me"
 ATTEMPTS = 40
+NARROW = 5  # draws that keep the layout's size; each later one adds a letter, digit, syllable or octet
 
 # Titles that precede a name, and the shapes of each type. All repeats are bounded, possessive or exclude each other.
 _MALE = r"Mr|Mister|Herr|Monsieur|Señor|Sr|Господин"
@@ -72,7 +73,7 @@ def _same_class(seed: Column, c: Column, i: Column, lower: str = "abcdefghijklmn
         .when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), F.upper(_pick(seed, i, "абвгдезиклмнопрстуфя"))).otherwise(_pick(seed, i, "абвгдезиклмнопрстуфя")))
         .when(c.rlike(r"\p{IsGreek}"), F.when(c.rlike(r"\p{Lu}"), F.upper(_pick(seed, i, "αβγδεζηθικλμνξοπρτυφχω"))).otherwise(_pick(seed, i, "αβγδεζηθικλμνξοπρτυφχω")))
         .when(c.rlike(r"\p{Ll}"), _pick(seed, i, "áàâäéèêëíìîïóòôöúùûüçñ")).when(c.rlike(r"\p{Lu}"), _pick(seed, i, "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÇÑ"))
-        .otherwise(c)
+        .when(c.rlike(r"\p{L}"), _pick(seed, i, lower)).when(c.rlike(r"\p{N}"), _pick(seed, i, "0123456789")).otherwise(c)  # of other scripts: left as it is it could never differ
     )
 
 
@@ -94,21 +95,26 @@ def surrogate(kind_: Column, canon: Column, attempt: Column, key: str) -> Column
 
 def _drawn(kind_: Column, canon: Column, attempt: Column, seed: Column) -> Column:
     chars = lambda s: F.split(s, "")
+    more = F.greatest(attempt - (NARROW - 1), F.lit(0))
+    # Keyed from places below 0, which nothing else uses.
+    added = lambda n, draw: F.array_join(F.transform(F.array_repeat(F.lit(""), n), lambda _, k: draw(-1 - k)), "")
+    digits = added(more, lambda k: _pick(seed, k, "0123456789"))
     plain = lambda s, **how: F.array_join(F.transform(chars(s), lambda c, i: _same_class(seed, c, i, **how)), "")
     tld = F.regexp_extract(canon, r"\.\p{L}+$", 0)
-    email = F.concat(plain(F.substring(canon, F.lit(1), F.char_length(canon) - F.char_length(tld))), tld)
+    email = F.concat(added(more, lambda k: _pick(seed, k, "abcdefghijklmnopqrstuvwxyz")), plain(F.substring(canon, F.lit(1), F.char_length(canon) - F.char_length(tld))), tld)
 
     def octet(o: Column, i: Column) -> Column:
         n = F.pmod(F.xxhash64(seed, i), F.lit(1 << 40))
         by_length = F.when(F.char_length(o) == 1, n % 10).when(F.char_length(o) == 2, 10 + n % 90).otherwise(100 + n % 156)
-        return F.when(attempt < ATTEMPTS // 2, by_length).otherwise(n % 256).cast("string")  # short forms run out first
+        return F.when(more == 0, by_length).otherwise(n % 256).cast("string")  # short forms run out first
 
-    ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
+    octets = added(F.greatest(more - NARROW, F.lit(0)), lambda k: F.concat(F.lit("."), F.pmod(F.xxhash64(seed, k), F.lit(256)).cast("string")))
+    ip = F.concat(F.array_join(F.transform(F.split(canon, r"\."), octet), "."), octets)
     hexes = F.array_join(F.transform(chars(canon), lambda c, i: F.when(c.rlike("[0-9a-f]"), _pick(seed, i, "0123456789abcdef")).otherwise(_pick(seed, i, "0123456789ABCDEF"))), "")
     secret = F.when(canon.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), hexes).otherwise(F.concat(F.regexp_extract(canon, r"^(?:AKIA|gh._|sk-)", 0), plain(F.regexp_replace(canon, r"^(?:AKIA|gh._|sk-)", ""))))
     iban = F.concat(F.substring(canon, 1, 2), plain(F.substring(canon, F.lit(3), F.char_length(canon))))
     # A card keeps its first digit, and whether its check digit is right.
-    body = F.concat(F.substring(canon, 1, 1), plain(F.substring(canon, F.lit(2), F.char_length(canon) - 2)))
+    body = F.concat(F.substring(canon, 1, 1), plain(F.substring(canon, F.lit(2), F.char_length(canon) - 2)), digits)
     check = F.pmod(F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10))
     shift = F.when(_luhn(canon) % 10 == 0, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(seed), F.lit(9)).cast("int"))
     card = F.concat(body, F.pmod(check + shift, F.lit(10)).cast("string"))
@@ -123,10 +129,11 @@ def _drawn(kind_: Column, canon: Column, attempt: Column, seed: Column) -> Colum
         return F.when(~w.rlike(r"^\p{L}"), w).when(F.char_length(w) == 1, initial).otherwise(long)
 
     words = F.regexp_extract_all(F.substring(canon, F.lit(3), F.char_length(canon)), F.lit(RUNS), F.lit(0))
-    person = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(words, name), ""))
+    syllables = added(more, lambda k: F.when(latin, F.concat(_pick(seed, 2 * k, "bdfglmnrstv"), _pick(seed, 2 * k + 1, "aeiou"))).otherwise(F.concat(_pick(seed, 2 * k, "бдглмнрств"), _pick(seed, 2 * k + 1, "аеиоу"))))
+    person = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(words, name), ""), syllables)
     return (
-        F.when(kind_ == "email", email).when(kind_ == "ip", ip).when(kind_ == "secret", secret).when(kind_ == "iban", iban).when(kind_ == "card", card)
-        .when(kind_ == "person", person).otherwise(plain(canon))
+        F.when(kind_ == "email", email).when(kind_ == "ip", ip).when(kind_ == "secret", F.concat(secret, digits)).when(kind_ == "iban", F.concat(iban, digits)).when(kind_ == "card", card)
+        .when(kind_ == "person", person).otherwise(F.concat(plain(canon), digits))
     )
 
 
@@ -135,7 +142,10 @@ def spell(kind_: Column, entity: Column, value: Column) -> Column:
     title = F.regexp_extract(entity, rf"^(?:{_MALE}|{_FEMALE})\.? ", 0)
     place = lambda i: F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), r"[^0-9A-Za-z]", ""))
     laid = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(value, place(i), F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(value, i + 1, F.lit(1)))).otherwise(F.substring(value, i + 1, F.lit(1)))), "")
+    laid = F.concat(laid, F.substring(value, place(F.char_length(entity)) + 1, F.char_length(value)))  # what later draws have added
+    front = F.greatest(F.char_length(value) - F.char_length(entity), F.lit(0))
+    cased = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(value, front + i + 1, F.lit(1)))).otherwise(F.substring(value, front + i + 1, F.lit(1)))), "")
+    cased = F.concat(F.substring(value, F.lit(1), front), cased)
 
     def word(e: Column, v: Column) -> Column:
         shape = F.when(e.rlike(r"^\p{Lu}{2}") & ~e.rlike(r"\p{Ll}"), F.upper(v)).when(e.rlike(r"^\p{Ll}"), v).otherwise(F.initcap(v))
@@ -153,7 +163,9 @@ def distinct_surrogates(entities: DataFrame, key: str = KEY, attempts: int = ATT
     """kind, canon, value: no two entities of a kind share a value, and no value is itself an entity.
 
     Of those that collide, the smallest canon keeps its value and the others are drawn again; two jobs a round over the
-    distinct entities, and in practice one or two rounds.
+    distinct entities, and in practice one or two rounds. From draw NARROW on the space grows with every draw, so that it
+    can't run out: a letter before an e-mail address, a syllable after a name, digits at the end of the others; an ip
+    takes octets of any length, and after as many draws again octets beyond the fourth. Then the layout isn't kept.
     """
     now = written(entities.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)).withColumn("value", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "surrogates")
     real = now.select("kind", F.col("canon").alias("value")).withColumn("taken", F.lit(True))

@@ -218,6 +218,17 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == len(values) == 400 and not values & {c for _, c in rows}
 
 
+def test_exhausted_layouts_widen(spark):
+    """More entities than their layout has values, and letters that have no class of their own."""
+    az = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}.com") for a in az for b in az] + [("person", f"f:{a}") for a in az] + [("email", "田中@日本.jp")]
+    got = table(pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, canon string")).withColumn("spelled", pii.spell(F.col("kind"), F.when(F.col("kind") == "person", F.concat(F.lit("Ms. "), F.upper(F.substring("canon", 3, 9)))).otherwise(F.col("canon")), F.col("value"))))
+    values = [r["value"] for r in got]
+    assert len(values) == len(set(values)) == len(rows) and not set(values) & {c for _, c in rows}
+    for r in got:
+        assert re.fullmatch(r"[a-z]+@[a-z]+\.(com|jp)", r["spelled"]) and r["spelled"] == r["value"] if r["kind"] == "email" else re.fullmatch(r"Ms\. [A-Z][a-z]*", r["spelled"]), r
+
+
 def test_secrets_of_letters_alone(spark):
     """Replaced also where the text holds no digit, @ or title, and as in a text that does."""
     keys = ["sk-" + "aBcDeFgHiJ" * 2, "ghp_" + "aBcDeF" * 6, "AKIA" + "QRSTUVWX" * 2, "abcdef" * 6, "ABCDEF" * 6]
