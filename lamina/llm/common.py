@@ -1,11 +1,11 @@
-"""Shared folder, written intermediate tables and Arrow helpers of the corpus operators."""
+"""Shared folder, intermediate tables and Arrow helpers of the corpus operators."""
 
 from __future__ import annotations
 
+import atexit
 import re
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,37 +13,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_own: dict[str, str] = {}
-_made: list[str] = []
+_made: dict[str, dict[str, SparkSession]] = {}  # paths of results by application, until clear()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir.
+
+    Where that is unset, a folder of the warehouse if the whole session runs in one process (tests); else an error, as no
+    folder of one machine would do.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(given)
-        whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
-        return re.sub(r"^file:/+", "file:///", whole.rstrip("/"))
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lamina-shared-")
-    return _own[app]
+    if not given:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        given = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lamina-scratch"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(given)
+    whole = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    return re.sub(r"^file:/+", "file:///", whole.rstrip("/"))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    _made.append(f"{shared_dir(spark)}/lamina-{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    """A path in the shared folder that no other call gets; removed by clear(), at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/lamina-{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, {})[path] = spark
+    return path
 
 
 def clear(spark: SparkSession) -> int:
-    """Delete every folder that scratch() gave out; for the end of a job, when its results are written elsewhere."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    gone = 0
-    while _made:
-        folder = path(_made.pop())
-        gone += folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return gone
+    """Delete what scratch() gave out in this application; for the end of a job, when its results are written elsewhere."""
+    return sum(delete(spark, path) for path in _made.pop(spark.sparkContext.applicationId, {}))
+
+
+def _at_exit() -> None:
+    for paths in list(_made.values()):
+        for path, spark in paths.items():
+            try:
+                delete(spark, path)
+            except Exception:  # the session or its JVM has gone before; the folder stays
+                return
+
+
+atexit.register(_at_exit)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,11 +68,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one call. As a context it deletes them when the call ends, but for those that keep() has named."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df, path in [x for x in self.held if any(x[0] is t for t in tables)]:
+            delete(self.spark, path)
+            _made.get(self.spark.sparkContext.applicationId, {}).pop(path, None)
+            self.held = [x for x in self.held if x[0] is not df]
+
+    def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """df as a table that outlives the call."""
+        out = self.write(df, name)
+        self.held = [x for x in self.held if x[0] is not out]
+        return out
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*(df for df, _ in self.held))
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """A column name like `name` that is none of `columns`, whatever their letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else. A text of ASCII alone takes the cheaper path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def text_mark(text: Column) -> Column:
+    """SHA-256 of a text, which with the row's id names the row."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes, end to end, and where each row starts (one offset more than rows). Null counts as empty."""
     column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary()).fill_null(b"")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lamina.llm import chat, common, decontaminate, induced, langid, minhash, mixing, pii, queries, sharding, suffix, topk, warc
 from lamina.llm.components import components
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, rid long, mark string, shard string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, rid long, MARK string, Shard string"
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu " * 400
 AWKWARD = [
     (1, None, "en", "a"), (2, "", "en", "a"), (3, " \n\t ", None, None), (4, "one", "en", "a"), (5, "one two", "en", "a"), (6, "ONE two", "en", "b"),
@@ -135,9 +135,39 @@ def test_links_between_clusters(spark):
     assert got == brute_groups(rows, 3, 85)
 
 
+def thue_morse(n, flip=0):
+    return [(bin(i).count("1") + flip) % 2 for i in range(n)]
+
+
+def test_links_are_verified_on_words(spark):
+    """Words that cancel in any polynomial modulo 2^64 stay two words; also where everything is shuffled."""
+    one, two = ("".join("ab"[x] for x in thue_morse(1024, flip)) for flip in (0, 1))
+    rows = [(1, one), (2, two), (3, one.upper()), (4, f"{two} x"), (5, f" {two}\tX ")]
+    src = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (minhash.BROADCAST_ROWS, 0):
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in table(minhash.near_duplicates(src, 3, 85, broadcast_rows=limit)))
+        assert got == brute_groups(rows, 3, 85) and {k[2] for k in got} == {1, 2, 4}
+
+
+def test_overlaps_of_words():
+    words = lambda t: t.lower().split()
+    texts = ["a b c d e", "a b c d f", "a b", "b a", "", "a b c a b c a b c", "A B C a b c", "x " * 50 + "y"]
+    for width in (3, 5):
+        shingles = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set() for w in map(words, texts)]
+        for i, a in enumerate(texts):
+            one = minhash.Exact(a.encode(), width)
+            for j, b in enumerate(texts):
+                assert one.overlap(b.encode()) == (len(shingles[i] & shingles[j]), len(shingles[i] | shingles[j])), (a, b)
+    long = ("w%d " * 3000) % tuple(range(3000))
+    (short_cut, digest), = minhash.shingle_sets([long.encode()], 3)
+    whole = [w for part in minhash.words(long.encode(), 100) for w in part]
+    assert whole == long.encode().split() and len(short_cut) == 2998
+
+
 def test_one_row_of_each_group_stays(awkward, empty):
-    left = table(minhash.drop_near_duplicates(awkward, 5, 80))
-    assert Counter(r["doc_id"] for r in left) == Counter([1, 2, 3, 4, 5, 7, None, 9, 10, 11, 12, 13, 14])
+    for limit in (minhash.BROADCAST_ROWS, 0):
+        left = table(minhash.drop_near_duplicates(awkward, 5, 80, broadcast_rows=limit))
+        assert Counter(r["doc_id"] for r in left) == Counter([1, 2, 3, 4, 5, 7, None, 9, 10, 11, 12, 13, 14])
     assert minhash.drop_near_duplicates(empty).count() == 0
     assert minhash.drop_near_duplicates(awkward).columns == awkward.columns
 
