@@ -27,6 +27,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import mix64, pieces, scratch, text_bytes, written
 from .induced import SEPARATOR, eights, suffix_order
@@ -89,6 +90,23 @@ def _batches(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def _parted(new: np.ndarray, data: np.ndarray, start: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """`new` (whether a string begins another run than the one before it), set also where the bytes of both differ.
+
+    Equal hashes only bring strings together; what makes them one is this comparison, eight bytes at a time.
+    """
+    if len(data) < 8:
+        return new
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    open_, k = np.flatnonzero(~new), 0
+    while len(open_):
+        at = np.minimum(k, span[open_] - 8)
+        same = eight[start[open_] + at] == eight[start[open_ - 1] + at]
+        new[open_[~same]] = True
+        open_, k = open_[same & (span[open_] > k + 8)], k + 8
+    return new
+
+
 class _Batch:
     """A batch's strings: maximal runs of windows with one least gram, in documents that have an id."""
 
@@ -135,7 +153,7 @@ class _Batch:
         return (mixed >> np.uint64(40)) % np.uint64(shards), mixed & np.uint64(0xFFFFFFFF)
 
     def hashes(self, start: np.ndarray, span: np.ndarray) -> np.ndarray:
-        """A hash of the bytes at each place, the same wherever they are."""
+        """A hash of the bytes at each place, the same wherever they are; it deals and sorts, and is never taken for equality."""
         up, down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(len(self.data), c, np.uint64))) for c in (_C, _INVERSE))
         sums = np.append(np.uint64(0), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1]))
         return mix64((sums[start + span] - sums[start]) * down[start] ^ span.astype(np.uint64) * _B)
@@ -148,7 +166,9 @@ class _Batch:
         place = shard[which] << np.uint64(32) | key[which]
         by = np.lexsort((code, place))
         w, code, place = which[by], code[by], place[by]
-        new = np.append(True, (code[1:] != code[:-1]) | (place[1:] != place[:-1]))
+        span = self.size[w] + self.window - 1
+        new = np.append(True, (code[1:] != code[:-1]) | (place[1:] != place[:-1]) | (span[1:] != span[:-1]))
+        new = _parted(new, self.data, self.start[w], span)  # equal strings that the order keeps apart would only be sent as two
         heads = np.flatnonzero(new)
         at = np.empty(len(by), np.int64)
         at[by] = np.cumsum(new) - 1
@@ -286,6 +306,7 @@ def _resolve_part(parts: list[list[np.ndarray]], window: int, folder: str) -> li
     place = key.astype(np.uint64) << np.uint64(32) | code >> np.uint64(32)
     by = np.argsort(place)
     new = np.append(True, (place[by][1:] != place[by][:-1]) | (code[by][1:] != code[by][:-1]) | (span[by][1:] != span[by][:-1]))
+    new = _parted(new, raw, start[by], span[by])
     which = np.empty(len(by), np.int64)
     which[by] = np.cumsum(new) - 1
     heads = np.flatnonzero(new)
@@ -351,8 +372,12 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, hot_batches: int = HOT_
     Removed is every byte covered by a `window`-byte string that also starts in a document of smaller doc_id, judged on
     the input. Null text counts as empty; texts shorter than the window lose nothing; a row of null doc_id neither loses
     anything nor takes anything from others; rows of one doc_id take nothing from each other. An empty table gives none,
-    and further columns are ignored. window is 16 to 254.
+    and further columns are ignored. doc_id is a whole number (ids of text raise), window 16 to 254. A text is held whole
+    in one task, with some 60 bytes of arrays for each of its own. hot_batches and memory, like the sizes of batches and
+    shards at the top, change how the work is dealt and never the result.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be a whole number: smaller ids keep what larger ones lose")
     spark = docs.sparkSession
     packed = _batches(docs)
     size = packed.agg(F.sum(F.element_at("offsets", -1))).first()[0] or 0
