@@ -1,34 +1,31 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned against every token window.
 
-DataFrame functions only. A window that hashes to a member of the set is verified word by word in the same pass.
+DataFrame functions only. Words are exploded by place and each window's hash is taken from the word array in place, in
+one generated loop with the probe of the set; a window that hashes to a member is verified word by word there and then.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import Tables, ascii_lower, text_mark
 
 WINDOW = 10
 BROADCAST_BYTES = 256 << 20
 BROADCAST_ROWS = 500_000  # ids and hashes of contaminated documents, about 30 MB
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+_TOKEN, _NO_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # before letters are lowered
 
 
 def words(text: Column) -> Column:
     """A-Z lowered, then maximal runs of ASCII letters and digits and of anything beyond ASCII. Null has no words."""
-    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), _NOT_WORD), "")
-
+    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), f"{_NOT_WORD}+"), "")
 
-def _starts(n: Column, length: int) -> Column:
-    return F.when(n >= length, F.sequence(F.lit(1), n - (length - 1))).otherwise(F.array().cast("array<int>"))
 
-
-def _at(length: int, of: Callable[[Column], Column] = lambda gram: gram) -> Callable[[Column], Column]:
-    return lambda i: of(F.slice("ws", i, length))
+def _hash_at(ws: Column, place: Column, length: int) -> Column:
+    """The hash of the `length` words from `place` (counted from 1); places beyond the end pass by as null and hash as fewer words."""
+    return F.xxhash64(*[F.get(ws, place + (k - 1)) for k in range(length)])
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -38,46 +35,53 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = items.select("item_id", length.alias("length"), "ws").select(
         "item_id", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("length") + 1), lambda i: F.slice("ws", i, F.col("length")))).alias("gram")
     )
-    return cut.groupBy("length", "gram").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")).withColumn("hash", F.xxhash64("gram"))
+    grams = cut.groupBy("length", "gram").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return grams.withColumn("hash", _hash_at(F.col("gram"), F.lit(1), window))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, keys: tuple[str, ...] = ("doc_id",), keep_words: bool = False) -> DataFrame:
-    """One row per row of docs: rid, its `keys`, n_words, hits (sorted distinct [start, length] of occurring windows), items, and its words if asked for.
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, keys: tuple[str, ...] = ("doc_id",), keep: str | None = None) -> DataFrame:
+    """One row per row of docs: rid, its `keys`, n_words, hits (sorted distinct [start, length] of occurring windows), items, and the column `keep`.
 
     Beyond `broadcast_bytes` of windows, which are measured first, the set is joined by shuffle on the window's words
     instead. Null or empty texts have no words and no hits; repeated rows each keep their own row (rid); an empty
-    benchmark hits nothing; further columns are ignored.
+    benchmark hits nothing; further columns are ignored. A text's words are held as one array, however long it is.
     """
     grams = benchmark_windows(benchmark, window)
     stat = grams.agg(F.sum(F.octet_length(F.array_join("gram", " ")) + 64 + 24 * F.size("items")).alias("bytes"), F.sort_array(F.collect_set("length")).alias("lengths")).first()
     lengths, fits = stat.lengths or [window], (stat.bytes or 0) <= broadcast_bytes
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), *keys, words(F.col("text")).alias("ws")).withColumn("n_words", F.size("ws"))
-    own, empty = ["rid", *keys, "n_words"], F.array().cast("array<string>")
+    kept = F.col(keep) if keep else F.lit(None).cast("string")
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*keys).alias("of_row"), kept.alias("kept"), words(F.col("text")).alias("ws")).withColumn("n_words", F.size("ws"))
+    own, empty = ["rid", "of_row", "n_words"], F.array().cast("array<string>")
     if fits:
         # Place 0 is a marker that passes the join for every document, so those without a hit need no second pass.
-        hashes = F.concat(F.array(F.lit(0).cast("long")), *[F.transform(_starts(F.col("n_words"), n), _at(n, F.xxhash64)) for n in lengths])
-        each = base.select(*own, "ws", hashes.alias("hashes")).select(*own, "ws", F.posexplode("hashes").alias("place", "hash"))
-        before, start, length = F.lit(0), F.lit(0), F.lit(0)
-        for n in lengths:
-            start = F.when(F.col("place") > before, F.col("place") - before).otherwise(start)
-            length = F.when(F.col("place") > before, F.lit(n)).otherwise(length)
-            before = before + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
-        marker = docs.sparkSession.range(1).select(F.lit(0).alias("length"), empty.alias("gram"), empty.alias("items"), F.lit(0).cast("long").alias("hash"))
-        table = grams.select("length", "gram", "items", "hash").unionByName(marker).withColumnRenamed("length", "of")
-        hit = each.join(F.broadcast(table), "hash").withColumn("start", start).withColumn("length", length)
-        hit = hit.where((F.col("length") == F.col("of")) & ((F.col("place") == 0) | (F.slice("ws", F.greatest("start", F.lit(1)), F.greatest("length", F.lit(1))) == F.col("gram"))))
-        rows = hit.select(*own, F.when(F.col("place") == 0, F.col("ws")).alias("ws"), "start", "length", "items")
+        each = base.select(*own, "kept", "ws", F.explode(F.sequence(F.lit(0), "n_words")).alias("place"))
+        inside = lambda n: (F.col("place") > 0) & (F.col("place") + (n - 1) <= F.col("n_words"))
+        # A key is never null, so that it is worked out once: what lies beyond the end has one that verifies with nothing.
+        key = lambda n: F.coalesce(F.when(inside(n), _hash_at(F.col("ws"), F.col("place"), n)), F.when(F.col("place") == 0, 0).otherwise(1).cast("long"))
+        if len(lengths) == 1:
+            each = each.select("*", F.lit(lengths[0]).alias("length"), key(lengths[0]).alias("hash"))
+        else:
+            tried = F.array(*[F.struct(F.lit(n).alias("length"), key(n).alias("hash")) for n in lengths])
+            each = each.select("*", F.explode(tried).alias("t")).select(*own, "kept", "ws", "place", "t.length", "t.hash").where((F.col("place") > 0) | (F.col("length") == lengths[0]))
+        marker = docs.sparkSession.range(1).select(F.lit(0).alias("of"), empty.alias("gram"), empty.alias("items"), F.lit(0).cast("long").alias("hash"))
+        table = grams.select(F.col("length").alias("of"), "gram", "items", "hash").unionByName(marker)
+        hit = each.join(F.broadcast(table), "hash")
+        found = (F.col("length") == F.col("of")) & inside(F.col("length")) & (F.slice("ws", F.greatest("place", F.lit(1)), "length") == F.col("gram"))
+        hit = hit.where(((F.col("place") == 0) & (F.col("of") == 0)) | found)
+        rows = hit.select(*own, F.when(F.col("place") == 0, F.col("kept")).alias("kept"), F.col("place").alias("start"), "length", "items")
     else:
-        rows = base.select(*own, "ws", F.lit(0).alias("start"), F.lit(0).alias("length"), empty.alias("items"))
+        rows = base.select(*own, "kept", F.lit(0).alias("start"), F.lit(0).alias("length"), empty.alias("items"))
         for n in lengths:
-            cut = base.select(*own, F.posexplode(F.transform(_starts(F.col("n_words"), n), _at(n))).alias("at", "gram"))
+            places = F.when(F.col("n_words") >= n, F.sequence(F.lit(1), F.col("n_words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+            cut = base.select(*own, "ws", F.explode(places).alias("start")).select(*own, "start", F.slice("ws", F.col("start"), F.lit(n)).alias("gram"))
             hit = cut.join(grams.where(F.col("length") == n).hint("merge"), "gram")
-            rows = rows.unionByName(hit.select(*own, F.lit(None).cast("array<string>").alias("ws"), (F.col("at") + 1).alias("start"), "length", "items"))
-    return rows.groupBy(*own).agg(
+            rows = rows.unionByName(hit.select(*own, F.lit(None).cast(docs.schema[keep].dataType if keep else "string").alias("kept"), "start", "length", "items"))
+    out = rows.groupBy(*own).agg(
         F.sort_array(F.collect_set(F.when(F.col("start") > 0, F.struct("start", "length")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        *([F.first("ws", ignorenulls=True).alias("ws")] if keep_words else []),
+        *([F.first("kept", ignorenulls=True).alias("kept")] if keep else []),
     )
+    return out.select("rid", *[F.col(f"of_row.{k}").alias(k) for k in keys], "n_words", "hits", "items", *([F.col("kept").alias(keep)] if keep else []))
 
 
 def covered(hits: Column) -> Column:
@@ -102,23 +106,37 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs without those of which more than `max_share` of the words lie in benchmark windows.
+    """docs without those of which more than `max_share` of the words lie in benchmark windows; all columns stay as they are.
 
     The contaminated ids are written and counted, then leave by an anti join on doc_id and a hash of the text: broadcast
     up to `broadcast_rows` of them, so that the texts that stay aren't shuffled, and by shuffle beyond. Rows of another
     text under the same doc_id stay.
     """
-    mark = F.xxhash64("text")
-    keyed = docs.withColumn("__mark", mark)
-    seen = scan(keyed, benchmark, window, keys=("doc_id", "__mark"))
-    bad = written(seen.where(covered(F.col("hits")) > F.lit(max_share) * F.col("n_words")).select("doc_id", "__mark").distinct(), "contaminated")
-    small = F.broadcast(bad) if bad.count() <= broadcast_rows else bad.hint("merge")
-    left, right = keyed.alias("l"), small.alias("r")
-    return left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.__mark") == F.col("r.__mark")), "left_anti").drop("__mark")
+    with Tables(docs.sparkSession) as t:
+        seen = scan(docs.select("doc_id", "text", text_mark(F.col("text")).alias("mark")), benchmark, window, keys=("doc_id", "mark"))
+        bad = t.keep(seen.where(covered(F.col("hits")) > F.lit(max_share) * F.col("n_words")).select("doc_id", "mark").distinct(), "contaminated")
+    d, r, mark = docs.alias("d"), bad.alias("r"), text_mark(F.col("d.text"))
+    if bad.count() <= broadcast_rows:  # the hash is taken only where the id agrees
+        r, same = F.broadcast(r), F.coalesce(mark == F.col("r.mark"), F.lit(False))
+    else:
+        r, same = r.hint("merge"), mark == F.col("r.mark")
+    return d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and clean_words: the words of each document without those inside a benchmark window."""
-    seen = scan(docs, benchmark, window, keep_words=True)
-    inside = lambda i: F.exists("hits", lambda h: (h["start"] <= i + 1) & (i + 1 < h["start"] + h["length"]))
-    return seen.select("doc_id", F.when(F.size("hits") == 0, F.col("ws")).otherwise(F.filter("ws", lambda w, i: ~inside(i))).alias("clean_words"))
+    """doc_id and clean_text: the text of each row without the words inside a benchmark window and what follows each up to the next word.
+
+    Everything else stays as it was written, letter case and punctuation too. A null text stays null.
+    """
+    seen = scan(docs, benchmark, window, keep="text")
+    zero = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("kept"), F.lit(1).alias("end"))
+
+    def step(acc: Column, h: Column) -> Column:
+        gap = F.struct(acc["end"].alias("at"), (h["start"] - acc["end"]).alias("n"))
+        return F.struct(F.when(h["start"] > acc["end"], F.concat(acc["kept"], F.array(gap))).otherwise(acc["kept"]).alias("kept"), F.greatest(acc["end"], h["start"] + h["length"]).alias("end"))
+
+    stretches = F.aggregate("hits", zero, step, lambda a: F.concat(a["kept"], F.array(F.struct(a["end"].alias("at"), F.greatest(F.col("n_words") + 1 - a["end"], F.lit(0)).alias("n")))))
+    tokens = F.regexp_extract_all("text", F.lit(f"{_TOKEN}+{_NO_TOKEN}*"), F.lit(0))
+    kept = F.flatten(F.transform(stretches, lambda s: F.slice("tokens", s["at"], s["n"])))
+    clean = F.concat(F.regexp_extract("text", f"^{_NO_TOKEN}*", 0), F.array_join(kept, ""))
+    return seen.withColumn("tokens", tokens).select("doc_id", F.when(F.size("hits") == 0, F.col("text")).otherwise(clean).alias("clean_text"))
