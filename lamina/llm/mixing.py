@@ -7,15 +7,15 @@ blocks. DataFrame functions only; nothing but numbers per source and block is ev
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Tables
 
 MAX_REPETITION = 2.0
 BLOCKS = 256
+BROADCAST_ROWS = 200_000  # one row a source and block: about 20 MB
 _WAYS, _ROUNDS = 32, 6
 
 
@@ -83,51 +83,90 @@ def plan_sources(sources: DataFrame, exponent: float, budget: int | None = None)
     return planned.unionByName(none)
 
 
-def mix(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget: int | None = None, seed: int = 17, blocks: int = BLOCKS) -> DataFrame:
-    """One row per drawn copy: rid, doc_id, source, n_tokens, weight, epoch (from 0), block, order_key.
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _block_key(seed: int, epoch: Column, block: Column) -> Column:
+    return F.xxhash64(F.lit(seed), epoch, block)
+
+
+def _order_key(seed: int, epoch: Column, block: Column, key: Column) -> Column:
+    return F.xxhash64(F.lit(seed), epoch, block, key)
+
 
-    Each source yields whole epochs of all its documents and then the start of one more permutation up to its quota: the
-    blocks in keyed order while their tokens fit, and the documents of the block that the quota ends in, in keyed order,
-    while they begin before it does. Blocks are hashes of the document, so running sums never range over one source's
-    documents together. Null source is a source of its own; documents without tokens belong to every whole epoch (those
-    of a source without any tokens: to one); repeated rows count each; an empty table gives none.
+def _cuts(t: Tables, rows: DataFrame, max_repetition: float | None, target_entropy: float | None, budget: int | None, seed: int) -> DataFrame:
+    """source, block, weight, epochs, whole (the block is read once more) and last: the place that the unfinished epoch ends at, in the block it ends in.
+
+    rows: source, block, key, n_tokens.
     """
-    key = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = written(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", tokens(F.col("text")).alias("n_tokens"), key.alias("key")), "tokens")
-    sums = rows.withColumn("block", F.pmod("key", F.lit(blocks))).groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"))
-    by_block = written(sums, "blocks")
+    by_block = t.write(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
     sources = by_block.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    exponent = temperature(sources, max_repetition, target_entropy)
-    plan = plan_sources(sources, exponent, budget)
+    plan = plan_sources(sources, temperature(sources, max_repetition, target_entropy), budget)
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)).cast("int")
     plan = plan.select("source", "weight", epochs.alias("epochs"), (F.col("quota") - epochs * F.col("tokens")).alias("rest"))
     # The order of blocks in the unfinished epoch; at most `blocks` rows a source.
-    order = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "epochs", "block"), "block").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("source").orderBy(_block_key(seed, F.col("epochs"), F.col("block")), "block").rowsBetween(W.unboundedPreceding, 0)
     cut = by_block.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "b.block", "tokens", "weight", "epochs", "rest")
     cut = cut.withColumn("before", F.sum("tokens").over(order) - F.col("tokens")).withColumn("left", F.col("rest") - F.col("before"))
-    cut = written(cut.select("source", "block", "weight", "epochs", "left", (F.col("left") >= F.col("tokens")).alias("whole")), "cuts")
-    keyed = rows.withColumn("block", F.pmod("key", F.lit(blocks)))
-    held = keyed.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.block") == F.col("c.block"))).select("rid", "doc_id", "d.source", "n_tokens", "key", "d.block", "weight", "epochs", "left", "whole")
+    cut = t.write(cut.select("source", "block", "weight", "epochs", "left", ((F.col("left") > 0) & (F.col("left") >= F.col("tokens"))).alias("whole")), "cuts")
     # Only the block in which a quota ends is ordered document by document.
-    ended = ~F.col("whole") & (F.col("left") > 0)
-    inner = W.partitionBy("source", "block").orderBy(F.xxhash64("epochs", "key"), "rid").rowsBetween(W.unboundedPreceding, 0)
-    part = held.where(ended).withColumn("more", (F.sum("n_tokens").over(inner) - F.col("n_tokens") < F.col("left")) & (F.col("n_tokens") > 0))
-    all_rows = held.where(~ended).withColumn("more", F.col("whole") & (F.col("left") > 0) & (F.col("n_tokens") > 0)).unionByName(part)
-    copies = F.col("epochs") + F.col("more").cast("int")
-    drawn = all_rows.withColumn("copies", copies).where(F.col("copies") > 0)
-    return drawn.select("rid", "doc_id", "source", "n_tokens", "weight", "block", "key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch")).select(
-        "rid", "doc_id", "source", "n_tokens", "weight", "epoch", "block", F.xxhash64(F.lit(seed), "epoch", "block", "key").alias("order_key")
-    )
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix draws it; the columns stay as they are.
-
-    Rows that agree in doc_id and text share the copies drawn for them evenly, rounded.
+    ended = cut.where(~F.col("whole") & (F.col("left") > 0)).alias("c")
+    held = rows.where("n_tokens > 0").alias("d").join(ended, F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.block") == F.col("c.block"))).select("d.source", "d.block", "key", "n_tokens", "epochs", "left")
+    place = F.struct(_order_key(seed, F.col("epochs"), F.col("block"), F.col("key")).alias("order_key"), "key")
+    keys = held.groupBy("source", "block", "key", "epochs", "left").agg(F.sum("n_tokens").alias("tokens")).withColumn("place", place)
+    inner = W.partitionBy("source", "block").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    last = keys.withColumn("before", F.sum("tokens").over(inner) - F.col("tokens")).where("before < left").groupBy("source", "block").agg(F.max("place").alias("last")).alias("e")
+    out = cut.alias("c").join(last, F.col("c.source").eqNullSafe(F.col("e.source")) & (F.col("c.block") == F.col("e.block")), "left")
+    return t.keep(out.select("c.source", "c.block", "weight", "epochs", "whole", "last"), "cuts")
+
+
+def _copies(rows: DataFrame, cuts: DataFrame, columns: list[str], has_tokens: Column, seed: int, limit: int) -> DataFrame:
+    """`columns` of rows (as d), which have __s, __b and __k as source, block and key, with weight and the epochs that draw each row."""
+    small = F.broadcast(cuts) if cuts.count() <= limit else cuts.hint("merge")
+    met = rows.alias("d").join(small.alias("c"), F.col("d.__s").eqNullSafe(F.col("c.source")) & (F.col("d.__b") == F.col("c.block")))
+    place = F.struct(_order_key(seed, F.col("c.epochs"), F.col("d.__b"), F.col("d.__k")).alias("order_key"), F.col("d.__k").alias("key"))
+    more = F.coalesce(F.when(F.col("c.whole") | (place <= F.col("c.last")), has_tokens), F.lit(False))
+    copies = F.col("c.epochs") + more.cast("int")
+    drawn = F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))
+    return met.select(*columns, "c.weight", drawn.alias("drawn"))
+
+
+def mix(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget: int | None = None, seed: int = 17, blocks: int = BLOCKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per drawn copy: doc_id, source, n_tokens, weight, epoch (from 0), block, block_key, order_key.
+
+    Each source yields whole epochs of all its documents and then the start of one more permutation up to its quota. An
+    epoch's order is its blocks by block_key and in a block the documents by order_key; of the unfinished epoch come the
+    blocks that the quota covers, and of the block it ends in the documents that begin before it does. Blocks are hashes
+    of the document, so running sums never range over one source's documents together. Null source is a source of its
+    own; documents without tokens belong to every whole epoch (those of a source without any tokens: to one); repeated
+    rows (in doc_id and text) are drawn alike, each of them; an empty table gives none; further columns are ignored, and
+    a text's length doesn't matter. The table of cuts (a row a source and block) is broadcast up to `broadcast_rows`.
+    """
+    with Tables(docs.sparkSession) as t:
+        key = _key(seed)
+        narrow = docs.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), key.alias("key"))
+        rows = t.keep(narrow.withColumn("block", F.pmod("key", F.lit(blocks))), "tokens")
+        cuts = _cuts(t, rows, max_repetition, target_entropy, budget, seed)
+    keyed = rows.withColumns({"__s": F.col("source"), "__b": F.col("block"), "__k": F.col("key")})
+    drawn = _copies(keyed, cuts, ["d.doc_id", "d.source", "d.n_tokens", "d.block", "d.key"], F.col("d.n_tokens") > 0, seed, broadcast_rows)
+    each = drawn.select("doc_id", "source", "n_tokens", "weight", "block", "key", F.explode("drawn").alias("epoch"))
+    epoch, block = F.col("epoch"), F.col("block")
+    return each.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", _block_key(seed, epoch, block).alias("block_key"), _order_key(seed, epoch, block, F.col("key")).alias("order_key"))
+
+
+def mixed_documents(docs: DataFrame, max_repetition: float | None = MAX_REPETITION, target_entropy: float | None = None, budget: int | None = None, seed: int = 17, blocks: int = BLOCKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with each row as often as mix() draws it, in the order of the permutation; the columns stay as they are.
+
+    Texts aren't shuffled: every partition puts its own rows in the order of epoch, block_key and order_key, so a file is a
+    part of the block permutation, and files can be read in any order.
     """
-    mark = F.xxhash64("text")
-    slim = docs.select(F.struct("doc_id", mark.alias("mark")).alias("doc_id"), "source", "text")
-    counts = mix(slim, **how).groupBy("rid", "doc_id").agg(F.count("*").alias("n"))
-    per = counts.groupBy("doc_id").agg(F.round(F.avg("n")).cast("int").alias("__n")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.mark").alias("__m"), "__n")
-    joined = docs.withColumn("__mark", mark).join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "__n")))).select(*docs.columns)
+    with Tables(docs.sparkSession) as t:
+        rows = t.write(docs.select("source", tokens(F.col("text")).alias("n_tokens"), _key(seed).alias("key")).withColumn("block", F.pmod("key", F.lit(blocks))), "tokens")
+        cuts = _cuts(t, rows, max_repetition, target_entropy, budget, seed)
+    # The row travels as one column, so that no name of its own can clash.
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("__s"), F.pmod(_key(seed), F.lit(blocks)).alias("__b"), _key(seed).alias("__k"))
+    drawn = _copies(whole, cuts, ["d.row", "d.__b", "d.__k"], F.col("d.row.text").rlike(r"\S"), seed, broadcast_rows)
+    each = drawn.select("row", "__b", "__k", F.explode("drawn").alias("epoch"))
+    placed = each.sortWithinPartitions("epoch", _block_key(seed, F.col("epoch"), F.col("__b")), _order_key(seed, F.col("epoch"), F.col("__b"), F.col("__k")))
+    return placed.select("row.*")
