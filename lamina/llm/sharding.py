@@ -13,15 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import Tables, scratch
 
 SLOTS = 4096
 
 
-def virtual_slot(*keys: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
-
-
 def record_bytes(text: Column) -> Column:
     """UTF-8 bytes of the text (null: none) plus 1."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
@@ -80,7 +76,13 @@ class SlotMaps:
     """Versions of a slot-to-shard map, each a small table <path>/version=N that is never changed once written."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> list[int]:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = lambda s: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder) if "=" in s.getPath().getName() and done(s)) if fs.exists(folder) else []
 
     def save(self, slots: dict[int, int], version: int) -> DataFrame:
         rows = self.spark.createDataFrame(sorted(slots.items()), "vslot int, shard int")
@@ -90,19 +92,59 @@ class SlotMaps:
     def load(self, version: int) -> DataFrame:
         return self.spark.read.schema("vslot int, shard int").parquet(f"{self.path}/version={version}")
 
+    def fitted(self, loads: dict[int, int], shards: int, tolerance: float = 0.001) -> dict[int, int]:
+        """The map for these loads: the last version, edited by rebalance() and saved as the next if that changed it; without one, a first map."""
+        known = self.versions()
+        if not known:
+            slots = assign(loads, shards)
+            self.save(slots, 0)
+            return slots
+        old = {r.vslot: r.shard for r in self.load(known[-1]).collect()}  # a row a slot
+        if set(old) != set(loads):
+            raise ValueError(f"{self.path} maps {len(old)} slots, not {len(loads)}: their number is fixed")
+        slots = rebalance(old, loads, shards, tolerance)
+        if slots != old:
+            self.save(slots, known[-1] + 1)
+        return slots
+
+
+def _heavy(rows: DataFrame, loads: dict[int, tuple[int, int]]) -> list[int]:
+    """Keys with more rows than two slots should have. At most half as many as there are slots, and looked for only where a slot is that full."""
+    bound = 2 * sum(n for _, n in loads.values()) / len(loads)
+    full = [s for s, (_, n) in loads.items() if n > max(bound, 64)]
+    if not full:
+        return []
+    return [r.key for r in rows.where(F.col("vslot").isin(full)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("key").collect()]
+
+
+def _slot(key: Column, heavy: list[int], slots: int) -> Column:
+    """A key's slot; rows of a heavy key, which no slot could hold evenly, are dealt over all slots."""
+    own = F.pmod(key, F.lit(slots)).cast("int")
+    return F.when(key.isin(heavy), F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int")).otherwise(own) if heavy else own
+
 
 def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, maps: SlotMaps | None = None) -> DataFrame:
     """Every row of docs (doc_id, text, any others) with its vslot and shard, by law `bytes`: shards of near equal size.
 
-    Texts aren't shuffled: a narrow pass sums bytes per slot, and the map (one row a slot) is broadcast. Null doc_id and
-    null text hash as nulls; an empty table gives an empty result; rows that agree in both doc_id and text share a slot.
+    Texts aren't shuffled: a narrow pass sums bytes per slot, and the map (one row a slot) is broadcast. With `maps` the
+    last version of the map is edited, so that only rows of the slots it moves change place. Null doc_id and null text
+    hash as nulls; an empty table gives an empty result; rows that agree in both doc_id and text share a slot unless they
+    are more than two slots should hold. Columns of docs called vslot or shard, in any letter case, give way to the
+    operator's; all others stay as they are. A text's length matters only to its slot's load.
     """
     maps = maps or SlotMaps(docs.sparkSession, scratch(docs.sparkSession, "slotmap"))
-    slot = virtual_slot(F.col("doc_id"), F.col("text"), slots=slots)
-    loads = slot_loads(docs.select(slot.alias("vslot"), record_bytes(F.col("text")).alias("size")), slots)
-    table = maps.save(assign({s: b for s, (b, _) in loads.items()}, shards), 0)
-    own = [c for c in docs.columns if c not in ("vslot", "shard")]
-    return docs.select(*own, slot.alias("vslot")).join(F.broadcast(table), "vslot").select(*own, "vslot", "shard")
+    key = F.xxhash64("doc_id", "text")
+    narrow = docs.select(key.alias("key"), F.pmod(key, F.lit(slots)).cast("int").alias("vslot"), record_bytes(F.col("text")).alias("size"))
+    loads = slot_loads(narrow, slots)
+    if heavy := _heavy(narrow, loads):  # dealt evenly, they weigh the same on every slot
+        light = slot_loads(narrow.where(~F.col("key").isin(heavy)), slots)
+        rest = (sum(b for b, _ in loads.values()) - sum(b for b, _ in light.values())) // slots
+        loads = {s: (b + rest, n) for s, (b, n) in light.items()}
+    placed = maps.fitted({s: b for s, (b, _) in loads.items()}, shards)
+    table = docs.sparkSession.createDataFrame(sorted(placed.items()), "vslot int, shard int")
+    own = [F.col(f"d.`{c}`") for c in docs.columns if c.lower() not in ("vslot", "shard")]
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("vslot", "shard")], _slot(key, heavy, slots).alias("vslot")).alias("d")
+    return kept.join(F.broadcast(table).alias("m"), F.col("d.vslot") == F.col("m.vslot")).select(*own, "d.vslot", "m.shard")
 
 
 def shard_table(docs: DataFrame, shards: int = 8, slots: int = SLOTS, maps: SlotMaps | None = None) -> DataFrame:
@@ -110,20 +152,20 @@ def shard_table(docs: DataFrame, shards: int = 8, slots: int = SLOTS, maps: Slot
 
     slot is the row's place in its shard, gapless from 0: rows are ranked within their virtual slot (thousands of small
     sorts, none per shard) and start after the rows of the shard's earlier virtual slots. Ties (repeated rows) take
-    successive places. Null text counts as empty (size 1, CRC 0), null doc_id sorts first, an empty table gives no rows.
+    successive places, and those of a key that fills more than two slots are dealt over all. Null text counts as empty
+    (size 1, CRC 0), null doc_id sorts first, an empty table gives no rows; further columns are ignored. With `maps` the
+    last version of the map is edited.
     """
     maps = maps or SlotMaps(docs.sparkSession, scratch(docs.sparkSession, "slotmap"))
-    text = F.coalesce("text", F.lit(""))
-    narrow = written(
-        docs.select(
-            "doc_id", record_bytes(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-            virtual_slot(F.col("doc_id"), F.col("text"), slots=slots).alias("vslot"),
-        ),
-        "records",
-    )
-    loads = slot_loads(narrow, slots)
-    placed = assign({s: b for s, (b, _) in loads.items()}, shards)
-    maps.save(placed, 0)
+    text, key = F.coalesce("text", F.lit("")), F.xxhash64("doc_id", "text")
+    own = F.pmod(key, F.lit(slots)).cast("int")
+    with Tables(docs.sparkSession) as t:
+        first = t.write(docs.select("doc_id", record_bytes(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"), own.alias("vslot")), "keyed")
+        loads = slot_loads(first, slots)
+        heavy = _heavy(first, loads)
+        narrow = t.keep(first.withColumn("vslot", _slot(F.col("key"), heavy, slots)).drop("key"), "records")
+        loads = slot_loads(narrow, slots) if heavy else loads
+    placed = maps.fitted({s: b for s, (b, _) in loads.items()}, shards)
     seen, starts = defaultdict(int), []
     for slot in range(slots):
         starts.append((slot, placed[slot], seen[placed[slot]]))
