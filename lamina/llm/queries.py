@@ -15,7 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_table(_table(spark, sf_dir, "documents"), shards=8)
+    """The map's versions are kept under spark.lamina.slotmaps where that is set, so that the next run edits the last one."""
+    path = spark.conf.get("spark.lamina.slotmaps", None)
+    return sharding.shard_table(_table(spark, sf_dir, "documents"), shards=8, maps=sharding.SlotMaps(spark, path) if path else None)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("rid")
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
