@@ -9,7 +9,7 @@ from lamina.llm.common import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language at all go."""
+    """Documents in no language go, and those that no learned language codes shorter than their bytes; a missing lang is filled in."""
     return langid.keep_identified(docs)
 
 
@@ -24,7 +24,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated, at most twice as often as the largest; every document stays at least once."""
+    """Small sources are repeated, at most twice as often as the largest; every document stays at least once. Files hold the block permutation."""
     return mixing.mixed_documents(docs)
 
 
@@ -41,7 +41,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Code lengths under a fitted model and keyed hashes have no counterpart in SQL; the stages are tested against brute force.
+#: Code lengths under a fitted model and keyed hashes have no counterpart in SQL; each stage is tested against brute force on what the one before it kept.
 ORACLE_SQL = None
 
 
