@@ -28,6 +28,7 @@ ORDER = 5  # bytes of context, at most 6
 SAMPLE_BYTES = 1_500_000  # of text to learn each language from, about
 LEAST_COUNT = 2  # times a context of two or more bytes must have been seen in its language to be in its tree
 MODEL_BYTES = 256 << 20  # of trees that are broadcast at once; more languages are scored block by block
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 _LEVEL = 56  # bits above a gram's bytes: how many bytes of context there are
 
@@ -72,11 +73,14 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 def sample_labelled(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Texts of about `sample_bytes` in each language, whole, chosen by a hash of their id: the bound of the fit.
 
-    Of a language with less all are taken. Shares are joined on the language, of which there may be many.
+    Of a language with less all are taken.
     """
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rates = able.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.sum(F.octet_length("text")), F.lit(1))).alias("rate"))
     lot = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("string")), F.lit(1_000_000))
+    with Tables(docs.sparkSession) as t:
+        rates = t.keep(rates, "rates")
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_LANGUAGES else rates  # else texts would be shuffled to a few numbers
     return able.select("lang", "text", lot.alias("lot")).join(rates, "lang").where(F.col("lot") < F.col("rate") * 1_000_000).where(letters(F.col("text"))).select("lang", "text")
 
 
