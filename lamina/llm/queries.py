@@ -82,14 +82,20 @@ h AS (SELECT DISTINCT doc_id, k, n, item_id FROM (SELECT doc_id, k, n, w[k:k + n
 t AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS at_word FROM h) GROUP BY 1),
 s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN s ON d.doc_id = s.doc_id""",
-        "op7_chat_windows": r"""WITH c AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, 4 + (length(text) + 3) // 4 AS tokens, 4 + length(regexp_replace(role, '([<\[|\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[|\\])', '\1\\', 'g')) + 4 AS chars FROM c),
-o AS (SELECT *, row_number() OVER w AS i, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) - tokens AS before FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-b AS (SELECT *, floor(before / 192) AS span FROM o), f AS (SELECT conv_id, span, min(i) AS i, min(before) AS before, sum(chars) AS chars FROM b GROUP BY 1, 2),
-s AS (SELECT conv_id, chars FROM b WHERE i = 1 AND role = 'system'),
-p AS (SELECT f.conv_id, f.span, 3 + f.chars + CASE WHEN f.i > 1 THEN coalesce(s.chars, 0) ELSE 0 END + coalesce((SELECT sum(x.chars) FROM b x WHERE x.conv_id = f.conv_id AND x.before BETWEEN f.before - 128 AND f.before - 1 AND NOT (x.i = 1 AND s.chars IS NOT NULL)), 0) AS chars FROM f LEFT JOIN s ON f.conv_id = s.conv_id),
-t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM b GROUP BY 1)
-SELECT t.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST((SELECT sum(chars) FROM p WHERE p.conv_id = t.conv_id) AS BIGINT) AS formatted_chars FROM t""",
+        "op7_chat_windows": r"""WITH RECURSIVE c AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, 8 + length(regexp_replace(role, '([<\[|\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[|\\])', '\1\\', 'g')) AS chars FROM c),
+o AS (SELECT *, (chars + 3) // 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM e),
+b AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) - tokens AS before FROM o),
+s AS (SELECT conv_id, chars, tokens FROM b WHERE i = 1 AND role = 'system'),
+t AS MATERIALIZED (SELECT b.conv_id, b.i, b.tokens, b.before // 8192 AS part, CASE WHEN b.i > 1 THEN coalesce(s.tokens, 0) ELSE 0 END AS system_tokens, CASE WHEN b.i > 1 THEN coalesce(s.chars, 0) ELSE 0 END AS system_chars,
+ coalesce((SELECT sum(x.tokens) FROM b x WHERE x.conv_id = b.conv_id AND x.i < b.i AND x.before // 8192 = b.before // 8192 AND x.before >= b.before - 128 AND (x.i > 1 OR s.conv_id IS NULL)), 0) AS back_tokens,
+ coalesce((SELECT sum(x.chars) FROM b x WHERE x.conv_id = b.conv_id AND x.i < b.i AND x.before // 8192 = b.before // 8192 AND x.before >= b.before - 128 AND (x.i > 1 OR s.conv_id IS NULL)), 0) AS back_chars FROM b LEFT JOIN s ON b.conv_id = s.conv_id),
+a AS MATERIALIZED (SELECT *, CASE WHEN 1 + tokens + system_tokens + back_tokens <= 512 THEN 1 + tokens + system_tokens + back_tokens ELSE 1 + tokens + system_tokens END AS opens, 3 + system_chars + CASE WHEN 1 + tokens + system_tokens + back_tokens <= 512 THEN back_chars ELSE 0 END AS lead FROM t),
+r AS (SELECT conv_id, i, part, opens AS used, lead FROM a WHERE i = 1 UNION ALL
+ SELECT a.conv_id, a.i, a.part, CASE WHEN a.part <> r.part OR r.used + a.tokens > 512 THEN a.opens ELSE r.used + a.tokens END, CASE WHEN a.part <> r.part OR r.used + a.tokens > 512 THEN a.lead ELSE 0 END FROM r JOIN a ON a.conv_id = r.conv_id AND a.i = r.i + 1),
+l AS (SELECT conv_id, sum(lead) AS lead FROM r GROUP BY 1),
+w AS (SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM b GROUP BY 1)
+SELECT w.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars + lead AS BIGINT) AS formatted_chars FROM w JOIN l ON w.conv_id = l.conv_id""",
         "op9_norm_topk": """WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",

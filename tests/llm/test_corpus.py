@@ -515,9 +515,36 @@ def test_chat(spark, small):
     for df in (src, real, src.limit(0)):
         got = {r.conv_id: tuple(r)[1:5] for r in chat.digest(chat.format_windows(df)).collect()}
         assert got == brute_chat([(r.conv_id, r.turn, r.role, r.text) for r in df.collect()])
-    windows = [r for r in chat.format_windows(src, 200, 60).collect() if r.conv_id == 4]
-    assert len(windows) > 10 and all(w.formatted.startswith("<s><|system|>") for w in windows) and any(w.n_repeated > 1 for w in windows)
-    assert all(w.formatted.count("</s>") == w.formatted.count("<|") for w in windows)
+    for segment in (chat.SEGMENT, 700):
+        windows = sorted((r for r in chat.format_windows(src, 200, 60, segment).collect() if r.conv_id == 4), key=lambda r: r.window)
+        assert len(windows) > 10 and all(w.formatted.startswith("<s><|system|>") for w in windows) and any(w.n_repeated > 1 for w in windows)
+        assert all(w.formatted.count("</s>") == w.formatted.count("<|") for w in windows)
+        assert "".join(t.text for r in chat.format_windows(src, 200, 60, segment).where("conv_id = 4").orderBy("window").select(F.slice(chat.parse_window(F.col("formatted")), F.col("n_repeated") + 1, F.lit(999)).alias("t")).collect() for t in r.t) == "".join(t for c, k, _, t in odd if c == 4)
+
+
+def test_windows_keep_their_budget(spark, small):
+    """By a count of their own characters: none is over but by one turn and the system turn, and those that others follow are full."""
+    long = [(7, 0, "system", "s" * 900), (7, 1, "user", "u" * 5000), (7, 2, "assistant", "a" * 300), (7, 3, "user", "b"), (8, 0, "system", "t" * 4000), (8, 1, "user", "x"), (8, 2, "assistant", "y<|")]
+    rng = np.random.default_rng(6)
+    long += [(9, k, ("user", "assistant")[k % 2], "z" * int(rng.integers(1, 250))) for k in range(3000)]
+    real = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    src = real.unionByName(spark.createDataFrame(long, real.schema))
+    fills = []
+    by = defaultdict(list)
+    for w in chat.format_windows(src).collect():
+        by[w.conv_id].append(w)
+    for windows in by.values():
+        windows.sort(key=lambda w: w.window)
+        for k, w in enumerate(windows):
+            turns = re.findall(r"(?s)<\|.*?</s>", w.formatted)
+            tokens = [-(-len(x) // 4) for x in turns]
+            assert 1 + sum(tokens) == w.n_tokens and len(w.formatted) == 3 + sum(map(len, turns))
+            system = turns[0].startswith("<|system") if w.n_repeated else False
+            assert w.n_tokens <= 512 or len(turns) == 1 + system, (w.conv_id, w.window, tokens)
+            assert sum(tokens[system : w.n_repeated]) <= 128
+            if k + 1 < len(windows):
+                fills.append(min(1, w.n_tokens / 512))
+    assert len(fills) > 50 and sum(fills) / len(fills) > 0.8
 
 
 @given(st.text(alphabet="<>[]|\\/sé x", max_size=30))
