@@ -30,7 +30,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(_table(spark, sf_dir, "documents"))
+    """The key is spark.lamina.pii.key; without one a key that everyone knows, for tables that hold no one's data."""
+    return pii.replace_pii(_table(spark, sf_dir, "documents"), spark.conf.get("spark.lamina.pii.key", "a key for made-up tables"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
