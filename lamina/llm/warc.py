@@ -11,7 +11,8 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from contextlib import ExitStack
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -24,6 +25,7 @@ INDEX = "page_id long, url string, payload_digest string, record_type string, re
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 ARCHIVE_BYTES = 1 << 30
 GAP = 64 << 10
+READ_BYTES, READ_TASKS = 32 << 20, 50_000  # of archives for each task, up to so many tasks
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -42,6 +44,7 @@ def encode(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {quote(url, safe='%:/?#[]@!$&()*+,;=~-._' + chr(39))}")
+        lines.append(f"X-Page-Url: {quote(url, safe='')}")  # the URL as it was: the one above is brought into the form of a URI
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -66,7 +69,7 @@ def decode(member: bytes) -> dict:
         raise ValueError(f"damaged payload {fields.get('WARC-Record-ID')}")
     number = lambda k: int(fields[k]) if k in fields else None
     return {
-        "page_id": number("X-Page-Id"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest,
+        "page_id": number("X-Page-Id"), "url": unquote(fields["X-Page-Url"]) if "X-Page-Url" in fields else fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest,
         "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"), "payload": None if revisit else payload,
     }
 
@@ -133,22 +136,29 @@ def coalesced(places: list[tuple[str, int, int]], gap: int = GAP, most: int = 8
 
 
 def read_records(index: DataFrame, gap: int = GAP, payloads: bool = True) -> DataFrame:
-    """The records that the index rows name, read back from the archives in order of place."""
-    sorted_rows = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    """The records that the index rows name, read back from the archives in order of place.
+
+    Tasks are dealt by the bytes that the rows name, not by the size of the index. The URL comes as it was written.
+    """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = min(READ_TASKS, max(1, -(-total // READ_BYTES)))
+    sorted_rows = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, source = None, None
-        for batch in batches:
-            for file, start, end, members in coalesced(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), gap):
-                if file != name:
-                    fs, place = pa.fs.FileSystem.from_uri(file)
-                    name, source = file, fs.open_input_file(place)
-                data = source.read_at(end - start, start)
-                rows = [decode(data[o - start : o - start + n]) for o, n in members]
-                if not payloads:
-                    for r in rows:
-                        r["payload"] = None
-                yield pa.RecordBatch.from_pylist(rows, schema=_schema(RECORD))
+        with ExitStack() as open_:
+            name, source = None, None
+            for batch in batches:
+                for file, start, end, members in coalesced(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), gap):
+                    if file != name:
+                        open_.close()
+                        fs, place = pa.fs.FileSystem.from_uri(file)
+                        name, source = file, open_.enter_context(fs.open_input_file(place))
+                    data = source.read_at(end - start, start)
+                    rows = [decode(data[o - start : o - start + n]) for o, n in members]
+                    if not payloads:
+                        for r in rows:
+                            r["payload"] = None
+                    yield pa.RecordBatch.from_pylist(rows, schema=_schema(RECORD))
 
     return sorted_rows.mapInArrow(read, RECORD)
 
