@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 import zstandard
 from hypothesis import given, settings
@@ -222,10 +223,11 @@ def test_bounds():
 
 
 def test_warc_round_trip(spark, tmp_path):
-    pages = [(1, "http://a/é\r\nX: y", "<p>é"), (2, None, "<p>é"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 200_000), (None, "u", "<p>é"), (6, "v", "<p>é"), (6, "v", "<p>é"), (None, None, "lone")]
+    pages = [(1, "http://a/é%41\r\nX: y", "<p>é"), (2, None, "<p>é"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 200_000), (None, "u", "<p>é"), (6, "v", "<p>é"), (6, "v", "<p>é"), (None, None, "lone")]
     src = spark.createDataFrame([(*p, 0, "f") for p in pages], "page_id long, url string, html string, offset int, file string").repartition(3)
     index = warc.write_archives(src, f"file://{tmp_path}/w", archive_bytes=300)
     got = table(warc.read_records(index))
+    assert Counter((r["page_id"], r["url"]) for r in got) == Counter((i, u) for i, u, _ in pages)
     groups = defaultdict(list)
     for i, _, h in pages:
         groups[(h or "").encode()].append(i)
@@ -245,6 +247,63 @@ def test_warc_round_trip(spark, tmp_path):
 
 # --- PII
 
+KEY = "of the tests"
+
+
+def test_names_without_titles(spark):
+    texts = [
+        (1, "Mary Stone met Dr. John Stone, John Stone and Mr. John Stone."), (2, "Prof. Anna-Maria von der Heide left."), (3, "Mary had a lamb. Johnny Stone, MARY STONE, Mark my words"), (4, "Ольга Иванова и Иван Иванов"),
+        (5, "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 and DE88 3704 0044 0532 0130 00"), (6, "+44 20 7946 0958, +1 (017) 555-7713, 078-05-1120, 666-12-1234"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in table(pii.replace_pii(spark.createDataFrame(texts, "doc_id long, text string"), KEY))}
+    names = re.fullmatch(r"(\w+na) (\w+) met Dr\. (\w+ron) (\w+), (\w+ \w+) and Mr\. (\w+ \w+)\.", got[1])
+    assert names and names[5] == names[6] == f"{names[3]} {names[4]}" and not {"Mary", "Stone", "John"} & set(re.findall(r"\w+", got[1]))  # one person, with a title or not
+    assert re.fullmatch(r"Prof\. \w+na-\w+ [a-z]+ [a-z]+ [A-Z]\w+ left\.", got[2]) and "Heide" not in got[2]
+    assert got[3] == texts[2][1] and re.fullmatch(r"[А-Я][а-я]+на [А-Я][а-я]+ и [А-Я][а-я]+рон [А-Я][а-я]+", got[4]) and "Иванов" not in got[4]
+    found = re.fullmatch(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) and (GB\d\d[A-Z]{4}\d{14}) and (DE\d\d(?: \d{4}){4} \d\d)", got[5]).groups()
+    rest = lambda x: int("".join(str(int(c, 36)) for c in x.replace(" ", "")[4:] + x[:4])) % 97
+    assert [rest(x) == 1 for x in found] == [True, True, False] and not any(x in texts[4][1] for x in found)
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}, \+1 \(\d{3}\) \d{3}-\d{4}, \d{3}-\d\d-\d{4}, \d{3}-\d\d-\d{4}", got[6])
+    for area, group, serial in re.findall(r"(\d{3})-(\d\d)-(\d{4})", got[6].split(", ", 2)[2]):
+        assert area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_pii(spark.createDataFrame(texts, "doc_id long, text string"), "")
+
+
+def test_seeds_are_a_mac(spark):
+    import hmac
+
+    for key in ("short", "long " * 40):
+        got = spark.range(1).select(pii._mac(F.lit("a\u0001é"), key)).first()[0]
+        assert got == hmac.new(key.encode(), "a\u0001é".encode(), "sha256").hexdigest()
+
+
+@pytest.mark.parametrize("limit", [pii.BROADCAST_ROWS, 0])
+def test_whole_table_is_replaced(spark, small, limit):
+    """Every text equals the original with each entity, found by another regex engine, put for one that is its own and no other's."""
+    src = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet")
+    any_ = regex.compile(pii.ANY, regex.V0)
+    by, real = {}, set()
+    texts = {r.doc_id: r.text for r in src.collect()}
+    n = 0
+    for r in pii.replace_pii(src, KEY, limit).collect():
+        spans = [m.span() for m in any_.finditer(texts[r.doc_id])]
+        assert r.n_entities == len(spans), r.doc_id
+        at = here = 0
+        ends = [*(a for a, _ in spans[1:]), None][: len(spans)]
+        for (a, e), nxt in zip(spans, ends, strict=True):
+            assert r.text[here : here + a - at] == texts[r.doc_id][at:a]
+            here += a - at
+            entity, tail = texts[r.doc_id][a:e], texts[r.doc_id][e:nxt]
+            if entity not in by:  # ends where what follows the entity begins
+                size = next(k for k in range(1, len(entity) + 60) if r.text[here + k :].startswith(tail if nxt is not None else tail) and (nxt is not None or here + k + len(tail) == len(r.text)))
+                by[entity] = r.text[here : here + size]
+            assert r.text[here:].startswith(by[entity])
+            here, at, n = here + len(by[entity]), e, n + 1
+            real.add(entity)
+        assert r.text[here:] == texts[r.doc_id][at:]
+    assert n > 100 and len(set(by.values())) == len(by) and not set(by.values()) & real
+
 
 def test_surrogates(spark):
     texts = [
@@ -253,7 +312,7 @@ def test_surrogates(spark):
         (5, "Mrs. Mary Stone met Mr. John Stone and Frau Müller; Mrs. Mary Stone left; Госпожа Иванова"), (6, "Nothing here: 12 of 34, v1.2.3.4.5, 2024-01-01."), (7, None), (7, ""), (None, "é.x@y.example.com"), (8, "é.x@y.example.com é.x@y.example.com"),
     ]
     src = spark.createDataFrame([(*t, 0) for t in texts], "doc_id long, text string, found int")
-    got = {(r["doc_id"], i): r for i, r in enumerate(sorted(table(pii.replace_pii(src)), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] is None)))}
+    got = {(r["doc_id"], i): r for i, r in enumerate(sorted(table(pii.replace_pii(src, KEY)), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] is None)))}
     by = {k[0]: r for k, r in got.items()}
     assert by[6]["text"] == texts[5][1] and by[6]["n_entities"] == 0
     mails = re.findall(r"[\w.]+@[\w.]+\w", by[1]["text"])
@@ -269,13 +328,13 @@ def test_surrogates(spark):
     names = re.match(r"(Mrs\. (\w+) \w+) met Mr\. (\w+) \w+ and Frau \w+; (Mrs\. \w+ \w+) left; Госпожа ([а-яА-Я]+)$", by[5]["text"])
     assert names and names[1] == names[4] and names[2].endswith("na") and names[3].endswith("ron") and "Stone" not in by[5]["text"]
     assert len(got) == len(texts) and by[8]["text"].split()[0] == by[8]["text"].split()[1] == by[None]["text"]
-    assert pii.replace_pii(src.limit(0)).count() == 0
+    assert pii.replace_pii(src.limit(0), KEY).count() == 0
 
 
 def test_surrogates_stay_distinct(spark):
     """All one-digit addresses: drawn from their own small layout until none collides, and none is another's true value."""
     rows = [("ip", f"{a}.{b}.{c}.1") for a in range(1, 5) for b in range(10) for c in range(10)]
-    got = table(pii.distinct_surrogates(spark.createDataFrame(rows * 2, "kind string, canon string")))
+    got = table(pii.distinct_surrogates(spark.createDataFrame(rows * 2, "kind string, canon string"), KEY))
     values = {r["value"] for r in got}
     assert len(got) == len(values) == 400 and not values & {c for _, c in rows}
 
@@ -284,7 +343,7 @@ def test_exhausted_layouts_widen(spark):
     """More entities than their layout has values, and letters that have no class of their own."""
     az = "abcdefghijklmnopqrstuvwxyz"
     rows = [("email", f"{a}@{b}.com") for a in az for b in az] + [("person", f"f:{a}") for a in az] + [("email", "田中@日本.jp")]
-    got = table(pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, canon string")).withColumn("spelled", pii.spell(F.col("kind"), F.when(F.col("kind") == "person", F.concat(F.lit("Ms. "), F.upper(F.substring("canon", 3, 9)))).otherwise(F.col("canon")), F.col("value"))))
+    got = table(pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, canon string"), KEY).withColumn("spelled", pii.spell(F.col("kind"), F.when(F.col("kind") == "person", F.concat(F.lit("Ms. "), F.upper(F.substring("canon", 3, 9)))).otherwise(F.col("canon")), F.col("value"))))
     values = [r["value"] for r in got]
     assert len(values) == len(set(values)) == len(rows) and not set(values) & {c for _, c in rows}
     for r in got:
@@ -295,7 +354,7 @@ def test_secrets_of_letters_alone(spark):
     """Replaced also where the text holds no digit, @ or title, and as in a text that does."""
     keys = ["sk-" + "aBcDeFgHiJ" * 2, "ghp_" + "aBcDeF" * 6, "AKIA" + "QRSTUVWX" * 2, "abcdef" * 6, "ABCDEF" * 6]
     rows = [(2 * n + d, f"the key {k} is{' 7' * d} here") for n, k in enumerate(keys) for d in (0, 1)]
-    got = {r["doc_id"]: r for r in table(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")))}
+    got = {r["doc_id"]: r for r in table(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), KEY))}
     for n, k in enumerate(keys):
         alone, beside = got[2 * n], got[2 * n + 1]
         assert alone["n_entities"] == beside["n_entities"] == 1 and k not in alone["text"], k
@@ -306,7 +365,7 @@ def test_long_secrets(spark):
     """However long a key is, it is replaced whole."""
     keys = [c * n for c, n in (("0a", 64), ("0a", 65), ("0A", 3000))] + [f"{p}{'aB3' * n}" for p, n in (("sk-", 22), ("sk-", 9000), ("ghp_", 40))]
     rows = [(n, f"key {k} end") for n, k in enumerate(keys)]
-    for r in table(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"))):
+    for r in table(pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), KEY)):
         k = keys[r["doc_id"]]
         value = r["text"].removeprefix("key ").removesuffix(" end")
         assert r["n_entities"] == 1 and r["kinds"] == ["secret"] and len(value) == len(k) and k[4:24] not in value, k[:9]
@@ -321,7 +380,7 @@ def test_titled_names_go_whole(spark):
         ("Mr. J. R.R. Tolkien came", rf"Mr\. [A-Z]\. [A-Z]\.[A-Z]\. {word} came"), ("Mr. Stone Mrs. Lee came", rf"Mr\. {word} Mrs\. {word} came"), ("Frau Dr. Merkel kam", rf"Frau {word}\. {word} kam"),
         ("Ms. Juana de la Cruz came", rf"Ms\. {word} [a-z]+ [a-z]+ {word} came"), ("Mr. " + "Aaa " * 2000 + "came", rf"Mr\. (?:{word} ){{2000}}came"), ("Mr. Smith. The end", rf"Mr\. {word}\. The end"),
     ]
-    got = {r["doc_id"]: r for r in table(pii.replace_pii(spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "doc_id long, text string")))}
+    got = {r["doc_id"]: r for r in table(pii.replace_pii(spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "doc_id long, text string"), KEY))}
     for n, (t, shape) in enumerate(cases):
         mine = got[n]["text"]
         assert re.fullmatch(shape, mine), (t[:40], mine[:60])
@@ -330,7 +389,7 @@ def test_titled_names_go_whole(spark):
 
 
 def test_clean_documents_keep_their_text(docs):
-    seen = {r["doc_id"]: r for r in table(pii.replace_pii(docs))}
+    seen = {r["doc_id"]: r for r in table(pii.replace_pii(docs, KEY))}
     for r in docs.collect():
         mine = re.search(r"[\w.]+@\w|\d{13}|\d\.\d+\.\d+\.\d|\(\d{3}\)|[0-9a-f]{40}", r.text)
         assert (seen[r.doc_id]["n_entities"] > 0) == bool(mine), (r.doc_id, mine)
@@ -660,6 +719,21 @@ def test_top_k(spark, small):
         assert got == brute_top([(r.vec_id, r.embedding) for r in df.collect()])
 
 
+def test_blocks_are_pruned_before_vectors_move(spark):
+    """Of clustered vectors most pairs of blocks can't hold a hit, and are left out by their summaries alone; the result is whole."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(16) * 20
+    rows = [(int(i), (centres[i % 16] * (1 + i % 3) + rng.normal(size=16)).tolist()) for i in range(6000)]
+    src = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    valid = src.select("vec_id", topk.scaled(F.col("embedding")).alias("v"))
+    index, asked = topk.pack(valid, 64), topk.pack(valid.where("vec_id % 5 = 0"), 16)
+    armed = topk.arm(asked, topk.first_scores(asked, index, 5, 4))
+    pairs, every = topk.admitted(armed, index, 4).agg(F.sum(F.size("blocks"))).first()[0], index.count() * asked.count()
+    assert 0 < pairs < 0.3 * every
+    got = Counter(tuple(r) for r in topk.top_k(src, F.col("vec_id") % 50 == 0, rows=64).collect())
+    assert got == brute_top(rows)
+
+
 def test_top_k_of_large_components(spark):
     rows = [(i, [1e12 * (i + 1), -3e11]) for i in range(3)] + [(50, [1.0, 1.0])]
     got = Counter(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())
