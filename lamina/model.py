@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -142,6 +142,18 @@ COMMITS = Contract(
 )
 
 
+#: What the columns of the tables say, for schemas that are declared.
+COMMENTS = {
+    "key": "natural key as the record has it; null where it has none", "repo": "source, owner/name", "dt": "day of landing", "payload": "the record as it came", "ingested_at": "time of the load",
+    "source_file": "landing file", "feed": "feed of the record", "row_id": "key, or hash of the payload where there is none", "processed_at": "time of the typed load", "reason": "why a row doesn't conform",
+    "sha": "natural key", "author_name": "who wrote it, by the version control", "author_email": "lower case", "committer_name": "who committed it", "committer_email": "lower case", "authored_at": "time of writing",
+    "committed_at": "time of the event", "message": "text of the commit", "comments": "number of comments", "signature_verified": "whether the signature holds", "signature_reason": "lower case, closed domain",
+    "login": "account, null where none is linked", "account_id": "number of the account", "account_type": "lower case, closed domain", "n_parents": "number of parents; null where unknown",
+    "day": "day of the event", "commits": "commits of that day", "contributors": "distinct authors of that day", "date_key": "day as yyyymmdd", "author_sk": "surrogate key of the author",
+    "first_commit": "first event of the contributor in the source", "first_signed": "first event with a valid signature", "last_commit": "last event so far",
+}
+
+
 def qualified(schema: str, table: str, catalog: str = "main") -> str:
     """Three-part table name, each part quoted."""
     return ".".join(f"`{p.replace('`', '``')}`" for p in (catalog, schema, table))
@@ -159,4 +171,3 @@ class IngestResult:
     truncated: bool = False
     path: str | None = None
     error: str | None = None
-    requests: list[str] = field(default_factory=list)

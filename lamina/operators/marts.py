@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import surrogate_key
+from ..sources.store import Table
 
 
 def scd2(snapshots: DataFrame, key: str, at: str, attributes: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
@@ -53,6 +54,30 @@ def accumulating_fact(events: DataFrame, key: str, kind: str, at: str, milestone
     return events.groupBy(key).agg(*[F.min(F.when(F.col(kind).isin(*kinds), F.col(at))).alias(name) for name, kinds in milestones.items()])
 
 
+def load_transactions(fact: Table, rows: DataFrame, keys: Sequence[str]) -> int:
+    """A transaction fact takes rows of new keys and never changes one it has; running it again adds nothing."""
+    return fact.insert_new(rows, keys)
+
+
+def load_snapshot(fact: Table, rows: DataFrame, grain: Sequence[str]) -> tuple[int, int]:
+    """A periodic snapshot's rows replace those of the same grain; those of other periods stay."""
+    return fact.upsert(rows, grain)
+
+
+def load_accumulating(fact: Table, rows: DataFrame, keys: Sequence[str], milestones: Sequence[str], latest: Sequence[str] = ()) -> tuple[int, int]:
+    """An accumulating snapshot keeps one row a key: each milestone the earliest time it was ever seen (`latest`: the last).
+
+    Rows of keys that bring nothing new aren't written, so running it again changes nothing.
+    """
+    if not fact.exists():
+        return fact.upsert(rows, keys)
+    old = fact.read().select(*keys, *[F.col(m).alias(f"__{m}") for m in (*milestones, *latest)], F.lit(True).alias("__had"))
+    both = rows.join(old, list(keys), "left")
+    now = {m: F.least(F.col(m), F.col(f"__{m}")) for m in milestones} | {m: F.greatest(F.col(m), F.col(f"__{m}")) for m in latest}
+    changed = reduce(lambda a, b: a | b, [~c.eqNullSafe(F.col(f"__{m}")) for m, c in now.items()], F.col("__had").isNull())
+    return fact.upsert(both.where(changed).select(*keys, *[c.alias(m) for m, c in now.items()]).select(*rows.columns), keys)
+
+
 def calendar(bounds: DataFrame, at: str) -> DataFrame:
     """A row for every day from the first to the last of `at`: date_key, day, year, month, quarter, weekday (1 Monday)."""
     ends = bounds.agg(F.to_date(F.min(at)).alias("a"), F.to_date(F.max(at)).alias("b")).where("a is not null")
@@ -78,11 +103,20 @@ def activity(rows: DataFrame, period: Column, contributor: str) -> DataFrame:
 
 
 def concentration(rows: DataFrame, group: str, contributor: str, percent: int = 50) -> DataFrame:
-    """The fewest contributors of each group that hold `percent` of its rows (bus factor), in whole numbers."""
+    """The fewest contributors of each group that hold `percent` of its rows (bus factor), in whole numbers.
+
+    Contributors of equal counts are counted together before any of a group's are ordered: a group has at most as many
+    different counts as the root of twice its rows, however many contributors.
+    """
     per = rows.groupBy(group, contributor).agg(F.count("*").alias("n"))
-    by = W.partitionBy(group).orderBy(F.desc("n"), contributor)
-    ranked = per.withColumn("before", F.sum("n").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).withColumn("total", F.sum("n").over(W.partitionBy(group)))
-    return ranked.where(F.lit(100) * F.col("before") < F.lit(percent) * F.col("total")).groupBy(group).agg(F.count("*").alias("bus_factor"), F.max("total").alias("rows"))
+    levels = per.groupBy(group, "n").agg(F.count("*").alias("members"))
+    by = W.partitionBy(group).orderBy(F.desc("n"))
+    held = F.col("n") * F.col("members")
+    ranked = levels.withColumn("before", F.sum(held).over(by.rowsBetween(W.unboundedPreceding, 0)) - held).withColumn("total", F.sum(held).over(W.partitionBy(group)))
+    # Of a level as many are needed as begin before the share is reached.
+    missing = F.lit(percent) * F.col("total") - F.lit(100) * F.col("before")
+    needed = F.least(F.col("members"), F.floor((missing + F.lit(100) * F.col("n") - 1) / (F.lit(100) * F.col("n"))).cast("long"))
+    return ranked.where(missing > 0).groupBy(group).agg(F.sum(needed).alias("bus_factor"), F.max("total").alias("rows"))
 
 
 def durations(fact: DataFrame, key: str, start: str, **ends: str) -> DataFrame:

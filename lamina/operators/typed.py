@@ -59,7 +59,7 @@ def newer(df: DataFrame, checkpoint: Checkpoint | None, column: str = "ingested_
     """Rows strictly beyond the checkpoint's watermark; all, where there is none. The filter reaches the Parquet scan."""
     if checkpoint is None or checkpoint.watermark is None:
         return df
-    return df.where(F.col(column) > F.lit(checkpoint.watermark))
+    return df.where(F.col(column) > F.lit(checkpoint.watermark).cast(df.schema[column].dataType))
 
 
 def newest(df: DataFrame, column: str = "ingested_at") -> datetime | None:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..model import BLOCKS, WARNS, Checkpoint, Contract, Feed, Field, Rule
-from ..operators import marts, merge, quality, raw, typed
+from ..model import BLOCKS, WARNS, Checkpoint, Contract, Feed, Field, IngestResult, Rule
+from ..operators import control, marts, merge, quality, raw, typed
+from ..sources.store import Table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,22 +167,23 @@ def checkpoint_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, max(ts) - INTERVAL 1 DAY AS watermark FROM events GROUP BY 1")
 def watermark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("event_type").agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("watermark"))
+    newest = read(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("newest")).collect()  # a row a type
+    return spark.createDataFrame([(r.event_type, control.overlapped(r.newest)) for r in newest], "event_type string, watermark timestamp_ntz")
 
 
 @query("SELECT event_id, ts, user_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")
 def incremental_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = Checkpoint("*", "events", watermark=datetime(2024, 1, 20))
-    rows = read(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    return rows.where(F.col("ts") > F.lit(mark.watermark).cast("timestamp_ntz"))
+    return typed.newer(read(spark, sf_dir, "events").select("event_id", "ts", "user_id"), Checkpoint("*", "events", watermark=datetime(2024, 1, 20)), "ts")
 
 
-@query("SELECT feed, coalesce(max(ts), TIMESTAMP '2024-01-25 00:00:00') AS watermark FROM (SELECT 'late' AS feed, ts FROM events WHERE ts > TIMESTAMP '2024-01-25 00:00:00' UNION ALL SELECT 'none', max(ts) FROM events WHERE ts > TIMESTAMP '2099-01-01 00:00:00') GROUP BY feed")
+@query("SELECT feed, coalesce(max(ts) - INTERVAL 1 DAY, TIMESTAMP '2024-01-25 00:00:00') AS watermark FROM (SELECT 'late' AS feed, ts FROM events WHERE ts > TIMESTAMP '2024-01-25 00:00:00' UNION ALL SELECT 'none', max(ts) FROM events WHERE ts > TIMESTAMP '2099-01-01 00:00:00') GROUP BY feed")
 def next_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
-    old = F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
-    one = lambda name, after: e.where(F.col("ts") > F.lit(after).cast("timestamp_ntz")).agg(F.coalesce(F.max("ts"), old).alias("watermark")).select(F.lit(name).alias("feed"), "watermark")
-    return one("late", "2024-01-25 00:00:00").unionByName(one("none", "2099-01-01 00:00:00"))
+    old, rows = datetime(2024, 1, 25), []
+    for name, after in (("late", old), ("none", datetime(2099, 1, 1))):
+        newest = typed.newest(typed.newer(read(spark, sf_dir, "events"), Checkpoint("*", name, watermark=after), "ts"), "ts")
+        moved = control.next_checkpoint(Checkpoint("*", name, watermark=old), name, IngestResult("*", newest=newest), old)
+        rows.append((name, moved.watermark))
+    return spark.createDataFrame(rows, "feed string, watermark timestamp_ntz")
 
 
 @query(f"WITH {_LANDED} SELECT event_type, max(TRY_CAST(json_extract_string(x, '$.at') AS TIMESTAMP)) AS newest FROM valid GROUP BY 1")
@@ -337,9 +339,8 @@ def dq_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(name: str, expected: DataFrame, *actual: DataFrame) -> DataFrame:
-    n = lambda df, c: df.agg(F.count("*").alias(c))
-    both = n(expected, "expected").crossJoin(n(reduce(DataFrame.union, actual), "actual"))
-    return both.select(F.lit(name).alias("rule"), "expected", "actual", F.abs(F.col("expected") - F.col("actual")).alias("violations"))
+    o = quality.reconcile(name, expected, *actual)
+    return expected.sparkSession.createDataFrame([(o.name, o.expected, o.actual, o.violations)], "rule string, expected long, actual long, violations long")
 
 
 @query("SELECT 'documents_labelled' AS rule, (SELECT count(*) FROM documents) AS expected, (SELECT count(*) FROM labels) AS actual, abs((SELECT count(*) FROM documents) - (SELECT count(*) FROM labels)) AS violations")
@@ -347,7 +348,7 @@ def reconcile_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sides("documents_labelled", read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query(f"WITH {_CLASSIFIED} SELECT 'raw_to_typed' AS rule, (SELECT count(*) FROM events) AS expected, (SELECT count(*) FROM classified) AS actual, CAST(0 AS BIGINT) AS violations")
+@query(f"WITH {_CLASSIFIED} SELECT 'raw_to_typed' AS rule, (SELECT count(*) FROM events) AS expected, (SELECT count(*) FROM classified WHERE reason IS NULL) + (SELECT count(*) FROM classified WHERE reason IS NOT NULL) AS actual, abs((SELECT count(*) FROM events) - (SELECT count(*) FROM classified WHERE reason IS NULL) - (SELECT count(*) FROM classified WHERE reason IS NOT NULL)) AS violations")
 def reconcile_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = classified(spark, sf_dir)
     return _sides("raw_to_typed", read(spark, sf_dir, "events").select("event_id"), typed.approved(c, ["event_id"]), typed.rejected(c, ["event_id"]))
@@ -457,11 +458,23 @@ def scd2_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.as_of(facts, _dimension(spark, sf_dir), "o_custkey", "t").select("event_id", "o_custkey", "t", "sk")
 
 
-@query("SELECT 'one_current' AS rule, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'flag_matches_end', 0 UNION ALL SELECT 'unique_sk', 0")
+_INVARIANTS = """SELECT 'one_current' AS rule, count(*) AS violations FROM (SELECT o_custkey FROM {dim} GROUP BY 1 HAVING count(*) FILTER (is_current) <> 1) UNION ALL
+SELECT 'flag_matches_end', count(*) FROM {dim} WHERE is_current <> (valid_to IS NULL) UNION ALL SELECT 'unique_sk', count(*) FROM (SELECT sk FROM {dim} GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@query(f"WITH {_DIMENSION} {_INVARIANTS.format(dim='dim')}")
 def scd2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.scd2_violations(_dimension(spark, sf_dir), "o_custkey")
 
 
+@query(f"WITH {_DIMENSION}, bad AS (SELECT CASE WHEN o_custkey % 11 = 0 THEN 'same' ELSE sk END AS sk, o_custkey, valid_to, CASE WHEN o_custkey % 7 = 0 THEN TRUE ELSE is_current END AS is_current FROM dim) {_INVARIANTS.format(dim='bad')}")
+def scd2_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dimension that breaks each invariant, so that the rules are seen to count."""
+    d, k = _dimension(spark, sf_dir), F.col("o_custkey")
+    bad = d.withColumn("sk", F.when(k % 11 == 0, "same").otherwise(F.col("sk"))).withColumn("is_current", F.when(k % 7 == 0, True).otherwise(F.col("is_current")))
+    return marts.scd2_violations(bad, "o_custkey")
+
+
 @query("SELECT c_custkey, sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_mktsegment)) AS sk FROM customer")
 def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", V.surrogate_key(F.col("c_custkey").cast("string"), F.col("c_mktsegment")).alias("sk"))
@@ -478,6 +491,32 @@ def fact_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.snapshot_fact(read(spark, sf_dir, "events"), [F.col("event_type"), F.to_date("ts").alias("day")], events=F.count("*"), users=F.countDistinct("user_id"))
 
 
+def _stored(spark: SparkSession, name: str) -> Table:
+    """A table of its own, where checkpoints go or else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return Table(spark, f"{base.rstrip('/')}/lamina-facts/{name}-{uuid.uuid4().hex}")
+
+
+@query("SELECT event_id, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS date_key, event_type, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS load FROM events")
+def fact_txn_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads that overlap: the second adds what is new and leaves what is there."""
+    rows = read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyyMMdd").cast("int").alias("date_key"), "event_type")
+    fact = _stored(spark, "txn")
+    marts.load_transactions(fact, rows.where("event_id % 2 = 0").withColumn("load", F.lit("first")), ["event_id"])
+    marts.load_transactions(fact, rows.withColumn("load", F.lit("second")), ["event_id"])
+    return fact.read()
+
+
+@query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS events, count(DISTINCT user_id) AS users FROM events WHERE event_id % 3 <> 0 OR ts >= TIMESTAMP '2024-01-10 00:00:00' GROUP BY 1, 2")
+def fact_periodic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days loaded from a part of the events, then those from the tenth on from all: these are replaced, the others stay."""
+    daily = lambda e: marts.snapshot_fact(e, [F.col("event_type"), F.to_date("ts").alias("day")], events=F.count("*"), users=F.countDistinct("user_id"))
+    e, fact = read(spark, sf_dir, "events"), _stored(spark, "periodic")
+    marts.load_snapshot(fact, daily(e.where("event_id % 3 <> 0")), ["event_type", "day"])
+    marts.load_snapshot(fact, daily(e).where("day >= '2024-01-10'"), ["event_type", "day"])
+    return fact.read()
+
+
 _STEPS = {"opened": ("signup",), "answered": ("click", "view"), "closed": ("purchase",)}
 _FACT = "f AS (SELECT user_id, min(ts) FILTER (event_type = 'signup') AS opened, min(ts) FILTER (event_type IN ('click', 'view')) AS answered, min(ts) FILTER (event_type = 'purchase') AS closed FROM events GROUP BY 1)"
 
@@ -487,6 +526,15 @@ def fact_accumulating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.accumulating_fact(read(spark, sf_dir, "events"), "user_id", "event_type", "ts", _STEPS)
 
 
+@query(f"WITH {_FACT} SELECT * FROM f")
+def fact_accumulating_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in two loads, the later ones first: the second moves milestones back and fills in those that were missing."""
+    e, fact = read(spark, sf_dir, "events"), _stored(spark, "accumulating")
+    for part in (e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), e.where("event_id % 5 = 0")):
+        marts.load_accumulating(fact, marts.accumulating_fact(part, "user_id", "event_type", "ts", _STEPS), ["user_id"], list(_STEPS))
+    return fact.read()
+
+
 @query(f"WITH {_FACT} SELECT user_id, CASE WHEN answered >= opened THEN CAST(floor(epoch_us(answered) - epoch_us(opened)) AS BIGINT) // 1000000 END AS to_answer, CASE WHEN closed >= opened THEN (epoch_us(closed) - epoch_us(opened)) // 1000000 END AS to_close FROM f")
 def lifecycle_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = marts.accumulating_fact(read(spark, sf_dir, "events"), "user_id", "event_type", "ts", _STEPS)

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 from typing import Any
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.values import nested, parse_iso
@@ -25,6 +26,8 @@ from ..model import Checkpoint, Feed, IngestResult
 from ..operators.control import search_parameters
 from .landing import file_path, write_lines
 
+# The form of replies that the parsers know, pinned so that it can't change under them, and who asks.
+HEADERS = {"Accept": "application/vnd.github+json", "X-GitHub-Api-Version": "2022-11-28", "User-Agent": "lamina"}
 ATTEMPTS = 5
 FIRST_WAIT, LONGEST_WAIT, JITTER = 2.0, 120.0, 0.25
 
@@ -97,13 +100,13 @@ def wait_before(attempt: int, reply: Reply | None, now: float, jitter: float) ->
 
 
 class Client:
-    def __init__(self, token: str, base_url: str, transport: Any = None, timeout: float = 30, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, token: str, base_url: str, transport: Any = None, timeout: float = 30, sleep: Callable[[float], None] = time.sleep, headers: dict[str, str] = HEADERS):
         if not token:
             raise ValueError("an empty token")
         self.base_url, self.timeout, self._sleep = base_url.rstrip("/"), timeout, sleep
         transport = transport or UrlTransport()
         # The token lives in this closure alone, so that no attribute or message shows it.
-        self._get = lambda url, params, extra: transport.get(url, {"Authorization": f"Bearer {token}", "Accept": "application/json", **extra}, params, timeout)
+        self._get = lambda url, params, extra: transport.get(url, {"Authorization": f"Bearer {token}", **headers, **extra}, params, timeout)
 
     def url(self, path: str) -> str:
         return path if path.startswith(("http://", "https://")) else f"{self.base_url}/{path.lstrip('/')}"
@@ -150,7 +153,7 @@ def newest_event(records: list[dict], path: str) -> datetime | None:
     return max(filter(None, map(parse_iso, texts)), default=None)
 
 
-def ingest(client: Client, feed: Feed, source: str, checkpoint: Checkpoint | None, base: str, now: datetime, max_pages: int | None = None, per_page: int = 100) -> IngestResult:
+def ingest(client: Client, feed: Feed, source: str, checkpoint: Checkpoint | None, base: str, now: datetime, max_pages: int | None = None, per_page: int = 100, spark: SparkSession | None = None) -> IngestResult:
     """One source into the landing zone: probe, page through what is newer, write one file. Errors are returned, not raised."""
     try:
         fresh, etag = changed(client, feed, source, checkpoint.etag if checkpoint else None)
@@ -169,7 +172,7 @@ def ingest(client: Client, feed: Feed, source: str, checkpoint: Checkpoint | Non
         if first is None:
             return IngestResult(source, etag=etag)
         path = file_path(base, feed, source, now)
-        n = write_lines(path, (r for part in ([first], stream) for r in part))
+        n = write_lines(path, (r for part in ([first], stream) for r in part), spark)
         return IngestResult(source, records=n, etag=etag, newest=newest, truncated=truncated, path=path)
     except (TransportError, HttpError, OSError, ValueError) as e:
         return IngestResult(source, error=f"{type(e).__name__}: {e}"[:500])

@@ -60,16 +60,61 @@ class Table:
         version = base["version"] + 1
         body = {"version": version, "operation": operation, "at": datetime.now(timezone.utc).isoformat(), "metrics": metrics, "schema": schema.jsonValue(), "files": files}
         target = self._path(f"{self.path}/_versions/{version:08d}.json")
-        # The whole manifest is written aside first; its rename fails where another writer has that version.
+        # The whole manifest is written aside first, so that no reader sees half of one.
         aside = self._path(f"{self.path}/_versions/.{uuid.uuid4().hex}")
         out = self._fs.create(aside, False)
         out.write(json.dumps(body).encode())
         out.close()
+        # Creating a version's claim without overwriting is atomic on every file system; who has it may name the manifest.
+        claim = self._path(f"{self.path}/_versions/{version:08d}.claim")
+        try:
+            self._fs.create(claim, False).close()
+        except Exception as e:
+            self._fs.delete(aside, False)
+            raise ConcurrentCommit(f"{self.path}: version {version} exists") from e
         if self._fs.exists(target) or not self._fs.rename(aside, target):
             self._fs.delete(aside, False)
             raise ConcurrentCommit(f"{self.path}: version {version} exists")
         return version
 
+    def create(self) -> bool:
+        """An empty first version of the declared schema, if there is no version yet."""
+        if self.exists():
+            return False
+        if self._schema is None:
+            raise ValueError(f"{self.path} has no declared schema")
+        self._commit(self.manifest(), "create", [], self._schema, {})
+        return True
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete data files that none of the last `keep` versions names; older versions can't be read afterwards. Returns how many files went.
+
+        Not to be run beside a writer, whose files no version names yet.
+        """
+        named = {f.split("/data/", 1)[1] for v in self.versions()[-keep:] for f in self.manifest(v)["files"]}
+        folder, gone = self._path(f"{self.path}/data"), 0
+        for part in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            files = [s for s in self._fs.listStatus(part.getPath()) if s.getPath().getName().endswith(".parquet")]
+            idle = [s for s in files if f"{part.getPath().getName()}/{s.getPath().getName()}" not in named]
+            gone += len(idle)
+            if len(idle) == len(files):
+                self._fs.delete(part.getPath(), True)
+            else:
+                for s in idle:
+                    self._fs.delete(s.getPath(), False)
+        return gone
+
+    def compact(self, bytes_a_file: int = 256 << 20) -> int:
+        """Rewrite the table in files of about `bytes_a_file`; a new version of the same rows. Returns the number of files, or 0 if there was nothing to gain."""
+        base = self.manifest()
+        size = sum(self._fs.getFileStatus(self._path(f)).getLen() for f in base["files"])
+        wanted = max(1, -(-size // bytes_a_file))
+        if len(base["files"]) <= wanted:
+            return 0
+        files, rows = self._write(self.read().coalesce(wanted))
+        self._commit(base, "compact", files, T.StructType.fromJson(base["schema"]), {"rows": rows})
+        return len(files)
+
     def describe(self) -> DataFrame:
         """name, type, nullable and comment of every column, as the last version has them."""
         rows = [(f.name, f.dataType.simpleString(), f.nullable and f.name not in self.not_null, (f.metadata or {}).get("comment")) for f in self.schema or []]

@@ -89,7 +89,7 @@ def test_links():
     assert http.next_link('<https://a/2>; rel="next", <https://a/9>; rel="last"') == "https://a/2" and http.next_link('<https://a/1>; rel="prev"') is None and http.next_link(None) is None
 
 
-def test_ingest(tmp_path):
+def test_ingest(spark, tmp_path):
     mark = Checkpoint("o/r", "commits", watermark=datetime(2026, 7, 1), etag="e0")
     c, script, _ = client(Reply(304))
     got = http.ingest(c, FEED, "o/r", mark, str(tmp_path), NOW)
