@@ -13,7 +13,6 @@ bits of every known (context, byte) and the bits of every context's factor, and
 from __future__ import annotations
 
 import io
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, pieces, text_bytes, unused
+from .common import Tables, pieces, text_bytes, tidied, unused
 
 ORDER = 5  # bytes of context, at most 6
-SAMPLE_BYTES = 1_500_000  # of text to learn each language from, about
+SAMPLE_BYTES = 1_000_000  # of text to learn each language from, about
 LEAST_COUNT = 2  # times a context of two or more bytes must have been seen in its language to be in its tree
 MODEL_BYTES = 256 << 20  # of trees that are broadcast at once; more languages are scored block by block
 BROADCAST_LANGUAGES = 100_000
@@ -58,7 +57,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
+            for piece in pieces(batch, "text", 1 << 20):
                 data, offsets = text_bytes(piece.column("text"))
                 found = grams(data, offsets, order)
                 langs, back = np.unique(np.array(piece.column("lang").to_pylist(), object), return_inverse=True)
@@ -67,7 +66,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     keys, n = np.unique(found[of == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def sample_labelled(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -200,34 +199,24 @@ def code_lengths(data: np.ndarray, offsets: np.ndarray, trees: list[Tree], order
     return out
 
 
-_loaded: dict[str, list[Tree]] = {}  # the trees last used by this worker
-
-
-def _trees(tag: str, dumps: list[bytes]) -> list[Tree]:
-    if tag not in _loaded:
-        _loaded.clear()
-        _loaded[tag] = [Tree.load(raw) for raw in dumps]
-    return _loaded[tag]
-
-
 def _scored(docs: DataFrame, trees: DataFrame, langs: list[str], order: int, names: tuple[str, str, str, str]) -> DataFrame:
     """All columns of docs with lang, bits (of the shortest code), odds (the sum over languages of 2^(bits - theirs)) and size in bytes, called `names`."""
     loaded = [(r.lang, r.tree) for r in trees.where(F.col("lang").isin(langs)).orderBy("lang").collect()]  # bounded by model_bytes
-    shared, tag = docs.sparkSession.sparkContext.broadcast(loaded), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(loaded)
     ddl = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double, `{names[3]}` long"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _trees(tag, [raw for _, raw in shared.value])
+        own = [Tree.load(raw) for _, raw in shared.value]
         tags = pa.array([lang for lang, _ in shared.value])
         for batch in batches:
-            for piece in pieces(batch, "text", 4 << 20):
+            for piece in pieces(batch, "text", 1 << 20):
                 data, offsets = text_bytes(piece.column("text"))
                 bits = code_lengths(data, offsets, own, order)
                 least = bits.min(1)
                 odds = np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
                 yield pa.RecordBatch.from_arrays([*piece.columns, tags.take(pa.array(bits.argmin(1))), pa.array(least), pa.array(odds), pa.array(np.diff(offsets))], names=[*piece.schema.names, *names])
 
-    return docs.mapInArrow(score, ddl)
+    return docs.mapInArrow(tidied(score), ddl)
 
 
 def predict(docs: DataFrame, trees: DataFrame, blocks: list[list[str]], order: int = ORDER) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, mix64, pieces, text_mark, unused
+from .common import Tables, mix64, pieces, text_mark, tidied, unused
 from .components import components
 
 HASHES = 128
@@ -196,7 +196,7 @@ def _sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 rid += len(sets)
 
     return docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text").mapInArrow(
-        sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark binary, rid long, n long, digest binary, keys array<long>"
+        tidied(sketch), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark binary, rid long, n long, digest binary, keys array<long>"
     )
 
 
@@ -223,7 +223,7 @@ def _texts(docs: DataFrame, named: DataFrame, width: int, limit: int) -> DataFra
     same = F.coalesce(text_mark(F.col("d.text")) == F.col("r.mark"), F.lit(False))
     found = d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.id")) & same).select("rid", "n", "digest", "copies", "d.text")
     once = found.where("copies = 1").drop("copies").unionByName(found.where("copies > 1").drop("copies").dropDuplicates(["rid"]))
-    return once.mapInArrow(check, "rid long, n long, text string, sig binary")
+    return once.mapInArrow(tidied(check), "rid long, n long, text string, sig binary")
 
 
 def _by_hub(pairs: DataFrame, sides: DataFrame, columns: list[str]) -> DataFrame:
@@ -259,7 +259,7 @@ def _likely(pairs: DataFrame, texts: DataFrame, threshold_pct: int, miss: float)
                     a.append(rid), b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _by_hub(pairs, texts, ["n", "sig"]).mapInArrow(bayes, "a long, b long")
+    return _by_hub(pairs, texts, ["n", "sig"]).mapInArrow(tidied(bayes), "a long, b long")
 
 
 def _overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -279,7 +279,7 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 out.append((rid, hub, *one.overlap(text.encode())))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "common", "united"])
 
-    return _by_hub(pairs, texts, ["text"]).mapInArrow(exact, "a long, b long, common long, united long")
+    return _by_hub(pairs, texts, ["text"]).mapInArrow(tidied(exact), "a long, b long, common long, united long")
 
 
 def _shared_counts(texts: DataFrame, width: int) -> DataFrame:
@@ -292,7 +292,7 @@ def _shared_counts(texts: DataFrame, width: int) -> DataFrame:
                 rids = np.repeat(piece.column("rid").to_numpy(), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(rids)], names=["s", "rid"])
 
-    alone = texts.select("rid", "text").mapInArrow(spread, "s long, rid long").groupBy("s").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).where("n = 1")
+    alone = texts.select("rid", "text").mapInArrow(tidied(spread), "s long, rid long").groupBy("s").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).where("n = 1")
     return alone.groupBy("rid").agg(F.count("*").alias("own"))
 
 

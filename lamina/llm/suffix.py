@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import mix64, pieces, scratch, text_bytes, written
+from .common import mix64, pieces, scratch, text_bytes, tidied, written
 from .induced import SEPARATOR, eights, suffix_order
 
 WINDOW = 50
@@ -84,7 +84,7 @@ def _batches(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "group int, batch long, ids array<long>, offsets array<long>, data binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(pack), "group int, batch long, ids array<long>, offsets array<long>, data binary")
     path = scratch(docs.sparkSession, "batches")
     rows.write.option("compression", "uncompressed").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
@@ -418,7 +418,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, hot_batches: int = HOT_
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(x for batch in batches for row in rows(batch) for x in _hashes(row, window, shards))
 
-    hashes = packed.mapInArrow(one, _BLOB_DDL)
+    hashes = packed.mapInArrow(tidied(one), _BLOB_DDL)
     bits_at = sent_back(hashes.groupBy("shard").applyInArrow(lambda t: _repeated(t, hot_batches), _BLOB_DDL), "bits")
 
     def two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +432,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, hot_batches: int = HOT_
 
         yield from emit(found())
 
-    strings = packed.mapInArrow(two, _BLOB_DDL)
+    strings = packed.mapInArrow(tidied(two), _BLOB_DDL)
     least_at = sent_back(strings.groupBy("shard").applyInArrow(lambda t: _resolve(t, window, folder, memory), _BLOB_DDL), "least")
 
     def three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,4 +455,4 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, hot_batches: int = HOT_
                     out.append({"doc_id": doc_id, "n_bytes": e - a, "n_removed": n, "n_spans": len(found), "kept_sha256": hashlib.sha256(kept.tobytes()).hexdigest(), "spans": found})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return packed.mapInArrow(three, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>")
+    return packed.mapInArrow(tidied(three), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>")
