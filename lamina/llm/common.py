@@ -141,6 +141,16 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterat
         at = end
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows from now on in this session, unless it names a number of its own.
+
+    A batch of Spark's 10,000 texts takes several hundred MB in the JVM and the worker together. Results don't depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same work, giving back to the system, at the end of a task, what a Python worker would else keep while other stages run."""
 

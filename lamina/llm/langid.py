@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, pieces, text_bytes, tidied, unused
+from .common import Tables, pieces, small_batches, text_bytes, tidied, unused
 
 ORDER = 5  # bytes of context, at most 6
 SAMPLE_BYTES = 1_000_000  # of text to learn each language from, about
@@ -201,6 +201,7 @@ def code_lengths(data: np.ndarray, offsets: np.ndarray, trees: list[Tree], order
 
 def _scored(docs: DataFrame, trees: DataFrame, langs: list[str], order: int, names: tuple[str, str, str, str]) -> DataFrame:
     """All columns of docs with lang, bits (of the shortest code), odds (the sum over languages of 2^(bits - theirs)) and size in bytes, called `names`."""
+    small_batches(docs.sparkSession)
     loaded = [(r.lang, r.tree) for r in trees.where(F.col("lang").isin(langs)).orderBy("lang").collect()]  # bounded by model_bytes
     shared = docs.sparkSession.sparkContext.broadcast(loaded)
     ddl = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` double, `{names[3]}` long"])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, mix64, pieces, text_mark, tidied, unused
+from .common import Tables, mix64, pieces, small_batches, text_mark, tidied, unused
 from .components import components
 
 HASHES = 128
@@ -312,6 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_pct: int = 80, mi
     takes some 30 bytes a word while it is compared. Band keys and ids of classes that meet are broadcast up to
     `broadcast_rows`, which are counted first, and shuffled beyond.
     """
+    small_batches(docs.sparkSession)
     bands, rows = bands_for(threshold_pct / 100)
     with Tables(docs.sparkSession) as t:
         sketches = t.write(_sketches(docs, width, bands, rows), "sketches")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import mix64, pieces, scratch, text_bytes, tidied, written
+from .common import mix64, pieces, scratch, small_batches, text_bytes, tidied, written
 from .induced import SEPARATOR, eights, suffix_order
 
 WINDOW = 50
@@ -379,6 +379,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, hot_batches: int = HOT_
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be a whole number: smaller ids keep what larger ones lose")
     spark = docs.sparkSession
+    small_batches(spark)
     packed = _batches(docs)
     size = packed.agg(F.sum(F.element_at("offsets", -1))).first()[0] or 0
     shards = max(FEW_SHARDS, -(-size // SHARD_BYTES))

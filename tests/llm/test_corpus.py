@@ -850,3 +850,10 @@ def test_pipeline(spark, small):
     kept -= {k[0] for k in brute_hits(rows, bench) if k[5]}
     out = corpus_pipeline.run(spark, small).collect()
     assert {r.doc_id for r in out} == kept and {r.shard for r in out} <= set(range(8))
+    # Copies are those that the mix of what is left draws, which has a test of its own.
+    left = docs.where(F.col("doc_id").isin(sorted(kept)))
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in mixing.mix(left).collect()) and len(out) > len(kept)
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += len(r.text.encode()) + 1
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(len(r.text.encode()) for r in out)
