@@ -28,6 +28,7 @@ SAMPLE_BYTES = 1_000_000  # of text to learn each language from, about
 LEAST_COUNT = 2  # times a context of two or more bytes must have been seen in its language to be in its tree
 MODEL_BYTES = 256 << 20  # of trees that are broadcast at once; more languages are scored block by block
 BROADCAST_LANGUAGES = 100_000
+PIECE_BYTES = 1 << 19  # of texts that a worker looks at together, or one text; results don't depend on it
 UNKNOWN = "und"
 _LEVEL = 56  # bits above a gram's bytes: how many bytes of context there are
 
@@ -43,13 +44,21 @@ def held_out(doc_id: Column) -> Column:
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """For each byte a number of it and up to `order` bytes before it in its row; above them, how many these are."""
-    v = data.astype(np.uint64)
-    whole = v.copy()
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    whole = data.astype(np.uint64)
+    depth = np.full(len(data), order, np.uint8)  # bytes before it in its row, `order` at most
+    for k in range(order):
+        at = offsets[:-1] + k
+        depth[at[at < offsets[1:]]] = k
     for k in range(1, order + 1):
-        if k < len(v):
-            whole[k:] |= np.where(place[k:] >= k, v[:-k] << np.uint64(8 * k), np.uint64(0))
-    return whole | np.minimum(place, order).astype(np.uint64) << np.uint64(_LEVEL)
+        if k < len(data):
+            before = data[:-k].astype(np.uint64)
+            before <<= np.uint64(8 * k)
+            before[depth[k:] < k] = 0
+            whole[k:] |= before
+    deep = depth.astype(np.uint64)
+    deep <<= np.uint64(_LEVEL)
+    whole |= deep
+    return whole
 
 
 def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -57,7 +66,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 data, offsets = text_bytes(piece.column("text"))
                 found = grams(data, offsets, order)
                 langs, back = np.unique(np.array(piece.column("lang").to_pylist(), object), return_inverse=True)
@@ -193,7 +202,8 @@ def code_lengths(data: np.ndarray, offsets: np.ndarray, trees: list[Tree], order
     out = np.zeros((len(offsets) - 1, len(trees)))
     if len(data):
         back, each = pd.factorize(grams(data, offsets, order))
-        steps, row = shortened(each, order), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        back = back.astype(np.int32)
+        steps, row = shortened(each, order), np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
         for i, tree in enumerate(trees):
             out[:, i] = np.bincount(row, tree.lengths(steps)[back], len(offsets) - 1)
     return out
@@ -210,7 +220,7 @@ def _scored(docs: DataFrame, trees: DataFrame, langs: list[str], order: int, nam
         own = [Tree.load(raw) for _, raw in shared.value]
         tags = pa.array([lang for lang, _ in shared.value])
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
+            for piece in pieces(batch, "text", PIECE_BYTES):
                 data, offsets = text_bytes(piece.column("text"))
                 bits = code_lengths(data, offsets, own, order)
                 least = bits.min(1)
