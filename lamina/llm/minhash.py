@@ -35,6 +35,7 @@ MISS = 1e-9  # posterior probability at which a pair is given up
 BROADCAST_ROWS = 500_000  # band keys, or ids of rows: about 30 MB
 LSH_MISS = 1e-6  # probability that a pair at the threshold shares no band
 GROUP = 256  # members that are compared with one copy of their hub
+BLOCK = 1024  # members of a hub that meet its others in one task
 CHUNK = 1 << 20  # bytes of one text whose words are objects at a time
 
 _rng = np.random.default_rng(20240607)
@@ -226,16 +227,23 @@ def _texts(docs: DataFrame, named: DataFrame, width: int, limit: int) -> DataFra
     return once.mapInArrow(tidied(check), "rid long, n long, text string, sig binary")
 
 
-def _by_hub(pairs: DataFrame, sides: DataFrame, columns: list[str]) -> DataFrame:
+def _with_parts(rows: DataFrame, size: int, limit: int) -> DataFrame:
+    """rows with `parts`, how many times `size` rows their hub has. Only hubs of several parts are sent to the rows, so no row moves to its hub."""
+    heavy = rows.groupBy("hub").agg(F.ceil(F.count("*") / size).cast("int").alias("parts")).where("parts > 1")
+    return rows.join(_limited(heavy, limit), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def _by_hub(pairs: DataFrame, sides: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """Pairs (a, b: the hub) as rows hub, part, rid and `columns`, the hub's own first in each part of up to GROUP members."""
-    sizes = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    one = pairs.select(F.col("a").alias("rid"), F.col("b").alias("hub")).join(sizes, "hub").select("hub", F.pmod(F.xxhash64("rid"), "parts").cast("int").alias("part"), "rid")
+    dealt = _with_parts(pairs.select(F.col("a").alias("rid"), F.col("b").alias("hub")), GROUP, limit)
+    sizes = dealt.groupBy("hub").agg(F.max("parts").alias("parts"))
+    one = dealt.select("hub", F.pmod(F.xxhash64("rid"), "parts").cast("int").alias("part"), "rid")
     own = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("rid"))
     rows = one.unionByName(own).join(sides.select("rid", *columns), "rid")
     return rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("rid") != F.col("hub"))
 
 
-def _likely(pairs: DataFrame, texts: DataFrame, threshold_pct: int, miss: float) -> DataFrame:
+def _likely(pairs: DataFrame, texts: DataFrame, threshold_pct: int, miss: float, limit: int) -> DataFrame:
     """Of pairs (a, b) those whose signatures leave a similarity of the threshold possible: batches of hashes, one after the other."""
     steps, t = least_matches(threshold_pct / 100, miss), threshold_pct
 
@@ -259,10 +267,10 @@ def _likely(pairs: DataFrame, texts: DataFrame, threshold_pct: int, miss: float)
                     a.append(rid), b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _by_hub(pairs, texts, ["n", "sig"]).mapInArrow(tidied(bayes), "a long, b long")
+    return _by_hub(pairs, texts, ["n", "sig"], limit).mapInArrow(tidied(bayes), "a long, b long")
 
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, texts: DataFrame, width: int, limit: int) -> DataFrame:
     """a, b and how many shingles their texts have in common (common) and together (united), from the words themselves."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +287,7 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 out.append((rid, hub, *one.overlap(text.encode())))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["a", "b", "common", "united"])
 
-    return _by_hub(pairs, texts, ["text"]).mapInArrow(tidied(exact), "a long, b long, common long, united long")
+    return _by_hub(pairs, texts, ["text"], limit).mapInArrow(tidied(exact), "a long, b long, common long, united long")
 
 
 def _shared_counts(texts: DataFrame, width: int) -> DataFrame:
@@ -343,8 +351,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_pct: int = 80, mi
         t.drop(met, reach, able)
 
         def overlaps(pairs: DataFrame) -> DataFrame:
-            likely = t.write(_likely(pairs, texts, threshold_pct, miss), "likely")
-            found = t.write(_overlaps(likely, texts, width), "overlaps")
+            likely = t.write(_likely(pairs, texts, threshold_pct, miss, broadcast_rows), "likely")
+            found = t.write(_overlaps(likely, texts, width, broadcast_rows), "overlaps")
             t.drop(likely)
             return found
 
@@ -377,11 +385,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold_pct: int = 80, mi
         split = circle.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("hub")
         inside = star.select(F.col("a").alias("rid"), F.col("b").alias("star"), F.col("common").alias("inside"))
         open_ = t.write(circle.join(split, "hub", "left_semi").join(inside, "rid", "left").select("hub", "rid", "root", "n", "shared", "star", "inside"), "across")
-        one, two = open_.alias("l"), open_.alias("r")
+        # A hub's members are dealt into blocks; each block meets all of them, so one hub fills as many tasks as it needs.
+        blocks = _with_parts(open_, BLOCK, broadcast_rows)
+        one = blocks.withColumn("block", F.pmod(F.xxhash64("rid"), "parts").cast("int")).alias("l")
+        two = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
         by_star = F.least("l.inside", "r.inside") + F.least(F.col("l.shared") - F.col("l.inside"), F.col("r.shared") - F.col("r.inside"))
         most = F.least("l.shared", "r.shared", F.when(F.col("l.star") == F.col("r.star"), by_star))
         able_pair = _may_reach(F.col("l.n"), F.col("r.n"), most, threshold_pct)
-        across = one.join(two, "hub").where((F.col("l.root") < F.col("r.root")) & able_pair).select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b"))
+        across = one.join(two, ["hub", "block"]).where((F.col("l.root") < F.col("r.root")) & able_pair).select(F.col("l.rid").alias("a"), F.col("r.rid").alias("b"))
         seen = star.select("a", "b").unionByName(second.select("a", "b"))
         seen = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
         across = t.write(across.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")

@@ -152,8 +152,21 @@ def test_near_duplicates(request, which, width, pct):
     assert got == brute_groups([(r.doc_id, r.text) for r in src.collect()], width, pct)
 
 
-def test_links_between_clusters(spark):
-    """A chain of texts, each near the next only, and two clusters that share buckets but only two of whose members are near."""
+@pytest.mark.parametrize(("group", "block", "limit"), [(minhash.GROUP, minhash.BLOCK, minhash.BROADCAST_ROWS), (3, 2, minhash.BROADCAST_ROWS), (3, 2, 0)])
+def test_links_between_clusters(spark, monkeypatch, group, block, limit):
+    """A chain of texts, each near the next only, and two clusters that share buckets but only two of whose members are near.
+
+    However hubs are dealt into parts and blocks the links are the same.
+    """
+    dealt, with_parts = {}, minhash._with_parts
+    monkeypatch.setattr(minhash, "GROUP", group), monkeypatch.setattr(minhash, "BLOCK", block)
+
+    def watched(rows, size, limit):
+        out = with_parts(rows, size, limit)
+        dealt[size] = max([dealt.get(size, 0), *(r.parts for r in out.select("parts").collect())])
+        return out
+
+    monkeypatch.setattr(minhash, "_with_parts", watched)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
     rows = [(1000 - k, " ".join(base[4 * k : 260 + 4 * k])) for k in range(10)]
@@ -164,8 +177,9 @@ def test_links_between_clusters(spark):
             w[i] = f"u{rng.integers(10**6)}"
         rows.append((2000 + k, " ".join(w)))
     src = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in table(minhash.near_duplicates(src, 3, 85)))
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in table(minhash.near_duplicates(src, 3, 85, broadcast_rows=limit)))
     assert got == brute_groups(rows, 3, 85)
+    assert all((n > 1) == (group == 3) for n in dealt.values()) and set(dealt) == {group, block}
 
 
 def thue_morse(n, flip=0):
